@@ -6,25 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeweave.llm.minhash import near_duplicates
+from pipeweave.llm.mixing import NEW, mix_sources
+from pipeweave.llm.pieces import encode, vocabulary_path
 from pipeweave.llm.quality import FEATURES, judge
 from pipeweave.llm.storage import Scratch
+from pipeweave.llm.substrings import substring_dedup
+from pipeweave.llm.vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, vocabulary_path(), check=True)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, Scratch(spark, "op2")).select("doc_id", "source", *NEW)
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op3"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"), k=2)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, Scratch(spark, "op8"), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, Scratch(spark, "op10")).select("doc_id", *FEATURES, "base_failed", "kept", "p_good")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mixing, op3_embedding_near_dedup, op4_minhash_near_dedup, op8_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
