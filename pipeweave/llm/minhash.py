@@ -11,8 +11,10 @@ probability of 0.04 %, of 0.85 with 0.002 %. Every candidate is verified on full
 of the runs).
 
 Groups of copies: equal sets collapse to their smallest doc_id before any table is built. In a bucket
-every document is compared with a leader, then with a second one drawn by a hash that differs from
-bucket to bucket; only documents that are still in different components are then compared one by one.
+every document is compared with a leader, and where most then hang together with a second one, drawn by
+a hash that differs from bucket to bucket. Documents that are still apart are compared one by one in
+small buckets. Those of large buckets, full of documents that share a passage but little else, are
+joined on the rarest items of their sets instead, which is exact and makes few pairs.
 
 Rows: one per distinct doc_id. Null, blank or empty texts: n_shingles 0, own component. Rows without a
 doc_id are left out: nothing could name them. Repeated rows of one doc_id with different texts: the
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipeweave.llm.components import components
@@ -35,6 +37,8 @@ from pipeweave.llm.words import Words, columns, mix, ngrams, seeds, signed
 _U = np.uint64
 #: Candidate pairs are broadcast up to this number of rows (16 bytes each); beyond it they are shuffled.
 BROADCAST_PAIRS = 100_000
+#: In buckets of up to this many documents all that are still apart are compared; larger ones go by their rarest items.
+PAIRED_BUCKET = 24
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -112,6 +116,26 @@ class Verifier:
         return both.where(100 * common >= self.threshold * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def _grouped(links: DataFrame) -> DataFrame:
+    """doc_id, c: the smallest doc_id within two links. Documents with the same c hang together; others may."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    once = both.groupBy("a").agg(F.least("a", F.min("b")).alias("c"))
+    over = both.join(once.select(F.col("a").alias("b"), "c"), "b").select("a", "c").unionByName(once)
+    return over.groupBy(F.col("a").alias("doc_id")).agg(F.min("c").alias("c"))
+
+
+def _rarest(docs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
+    """docs with one row for each item of their prefix, the n - ceil(threshold * n / 100) + 1 rarest ones.
+
+    Two sets that are similar enough share an item of their prefixes, whatever the order of the items, so
+    this loses no link. What many documents share, such as a common passage, is rarely among the rarest.
+    """
+    each = docs.join(items, "doc_id").select("doc_id", "n_shingles", "c", F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "item").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "item")))
+    return ranked.where(F.col("rank") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold / F.lit(100)) + 1).where("often > 1")
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, k: int = 5, threshold: int = 80, side: int = 12, rows: int = 3
 ) -> DataFrame:
@@ -145,28 +169,37 @@ def near_duplicates(
     verify = Verifier(items, threshold, scratch)
     fits = "100 * least(n, m) >= {t} * greatest(n, m)".format(t=threshold)  # else the sizes alone rule it out
 
+    def placed(links: DataFrame | None) -> DataFrame:
+        """The buckets that hold more than one group of documents known to hang together, with their size and groups."""
+        at = buckets.withColumn("c", F.col("doc_id")) if links is None else buckets.join(_grouped(links), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        sizes = at.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.approx_count_distinct("c").alias("groups"))
+        return scratch.keep(at.join(sizes.where("lo < hi").drop("lo", "hi"), "key"), "mixed")
+
     def with_leader(at: DataFrame, rank) -> DataFrame:
-        """Pairs of each document with the leader of each bucket, where they are in different components."""
+        """Pairs of each document with the leader of each of its buckets."""
         lead = at.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "c"), rank).alias("l"))
         pairs = at.select("key", "doc_id", F.col("n_shingles").alias("n"), "c").join(lead, "key").where("c <> l.c").withColumn("m", F.col("l.n_shingles")).where(fits)
         return pairs.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
 
-    def placed(found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return buckets.withColumn("c", F.col("doc_id"))
-        c = components(found, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component_id", "found")
-        at = buckets.join(c, "doc_id", "left").withColumn("c", F.coalesce("found", "doc_id")).drop("found")
-        mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        return scratch.keep(at.join(mixed, "key"), "mixed")
+    def paired(at: DataFrame, on: str, more: str = "true") -> DataFrame:
+        """Pairs of documents of different groups that have a value of `on` in common."""
+        mine = at.select(on, F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("c").alias("ca"), F.col("rank").alias("i"))
+        others = at.select(on, F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("c").alias("cb"), F.col("rank").alias("j"))
+        return mine.join(others, on).where("a < b and ca <> cb").where(fits).where(more).select("a", "b").distinct()
 
     links = scratch.keep(verify(with_leader(placed(None), F.col("doc_id"))), "links")
-    more = scratch.keep(verify(with_leader(placed(links), F.xxhash64("key", "doc_id"))), "links")
-    links = links.unionByName(more)
+    # Buckets of copies mostly hang together by now; a second leader finds what the first was too far from.
+    drawn = placed(links).where("2 * groups <= docs")
+    links = links.unionByName(scratch.keep(verify(with_leader(drawn, F.xxhash64("key", "doc_id"))), "links"))
     rest = placed(links)
-    ours = rest.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("c").alias("ca"))
-    others = rest.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("c").alias("cb"))
-    apart = ours.join(others, "key").where("a < b and ca <> cb").where(fits).select("a", "b").distinct()
-    links = links.unionByName(scratch.keep(verify(apart), "links"))
+    small = rest.where(F.col("docs") <= PAIRED_BUCKET).withColumn("rank", F.lit(0))
+    found = [scratch.keep(verify(paired(small, "key")), "links")]
+    large = scratch.keep(rest.where(F.col("docs") > PAIRED_BUCKET).select("doc_id", "n_shingles", "c").distinct(), "large")
+    # The first item in common, at ranks i and j, leaves at most 1 + least(n - i, m - j) of them.
+    enough = f"(100 + {threshold}) * (1 + least(n - i, m - j)) >= {threshold} * (n + m)"
+    found.append(scratch.keep(verify(paired(_rarest(large, items, threshold), "item", enough)), "links"))
+    for more in found:
+        links = links.unionByName(more)
 
     c = components(links.unionByName(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), scratch)
     out = signed_.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))

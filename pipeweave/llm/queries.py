@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipeweave.llm.chat import digests, format_chat
+from pipeweave.llm.html import extract
+from pipeweave.llm.lm import score, train
 from pipeweave.llm.minhash import near_duplicates
 from pipeweave.llm.mixing import NEW, mix_sources
 from pipeweave.llm.pieces import encode, vocabulary_path
 from pipeweave.llm.quality import FEATURES, judge
 from pipeweave.llm.storage import Scratch
 from pipeweave.llm.substrings import substring_dedup
+from pipeweave.llm.urls import judge_urls
 from pipeweave.llm.vectors import near_vectors
 
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,18 +42,49 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"), k=2)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents labelled as of good quality and not toxic. Every document is scored."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    return score(docs, train(docs, labels.where("q = 1 and t = 0").select("doc_id"), Scratch(spark, "op5")))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs that came with a referral mark. Their pages are blocked under any other address too."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.col("url").contains("ref=")).select("url")
+    return judge_urls(pages, listed, RULES, Scratch(spark, "op6")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(
+        "SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_chat(rows)).drop("attachment_tokens")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, Scratch(spark, "op8"), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, Scratch(spark, "op10")).select("doc_id", *FEATURES, "base_failed", "kept", "p_good")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mixing, op3_embedding_near_dedup, op4_minhash_near_dedup, op8_substring_dedup, op10_quality_rules)}
+    found = (
+        op1_sentencepiece, op2_source_mixing, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_lm_scoring,
+        op6_url_filters, op7_chat_formatting, op8_substring_dedup, op9_html_extraction, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
