@@ -23,7 +23,7 @@ from pipeweave.llm.storage import Scratch
 
 MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SHAPE = r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)"
+_SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
