@@ -590,7 +590,7 @@ _CLAIMED = f"""{_SUMMED}, claimed AS (SELECT *, calculated + CASE WHEN variant_i
 
 
 @query(
-    f"WITH {_CLAIMED} SELECT variant_id, CASE WHEN variant_id % 10 = 1 THEN 'calculated,score' ELSE 'score' END AS wrong FROM claimed WHERE variant_id % 10 = 1 OR request % 4 = 0",
+    f"WITH {_CLAIMED} SELECT variant_id, CASE WHEN variant_id % 10 = 1 AND request % 4 = 0 THEN 'calculated,score' WHEN variant_id % 10 = 1 THEN 'calculated' ELSE 'score' END AS wrong FROM claimed WHERE variant_id % 10 = 1 OR request % 4 = 0",
     "g_section",
 )
 def validate_summary(spark, sf_dir):
@@ -646,3 +646,50 @@ def validate_crossings(spark, sf_dir):
 def heavy_detour(spark, sf_dir):
     """Whether the nearest line makes a 50 m route a heavy detour."""
     return _near_lines(spark, sf_dir).groupBy("target").agg((F.min("distance_m") > 1.5 * 50 + 30).alias("heavy"))
+
+
+# Searches and dynamic programming: no SQL; tests hold them against small scenes and brute force
+
+
+def _scenes(spark, sf_dir):
+    known = scene(spark, sf_dir, "g_obstacle").join(F.broadcast(rules.rule_table(spark).select("type", "special", "clearance")), "type").where("NOT special")
+    targets = scene(spark, sf_dir, "g_target").select(F.col("ordinal").alias("target"), "x", "y")
+    from pipeweave.operators import search
+
+    return search.scenes_of(targets, known.select(*B, F.col("clearance").alias("keep")), 60.0)
+
+
+@query(None)
+def flood_enclosure(spark, sf_dir):
+    from pipeweave.operators import search
+
+    return search.enclosures(_scenes(spark, sf_dir))
+
+
+@query(None)
+def grid_walk(spark, sf_dir):
+    from pipeweave.operators import search
+
+    near = ties.nearest_k(_near_lines(spark, sf_dir).where("distance_m <= 55"), "target", 1, "distance_m", "ordinal", "seq").select("target", "tx", "ty")
+    return search.walks(_scenes(spark, sf_dir), near).withColumn("length_m", F.round("length_m", 6))
+
+
+@query(None)
+def depth_profile(spark, sf_dir):
+    """Depths every five metres of all pipes with their first two passages; those of coefficient 1.25 keep the pipe above 2.42 m."""
+    from pipeweave.operators import depth
+
+    sections = restrict.sections(scene(spark, sf_dir, "g_section").where("passage <= 2"))
+    stations = sections.where("ceil(from_m / 5) <= floor(to_m / 5)").select("edge_id", "coefficient", F.explode(F.sequence(F.ceil(F.col("from_m") / 5) * 5, F.floor(F.col("to_m") / 5) * 5, F.lit(5).cast("bigint"))).alias("at_m"))
+    bounded = stations.groupBy("edge_id", F.col("at_m").cast("double").alias("at_m")).agg(F.max("coefficient").alias("weight"))
+    hi = F.when(F.col("weight") == 1.25, 2.42).otherwise(F.lit(float("inf")))
+    return depth.profiles(bounded.withColumns({"lo": F.lit(0.7), "hi": hi})).withColumn("depth", F.round("depth", 6))
+
+
+@query(None)
+def stream_requests_once(spark, sf_dir):
+    """The first of equal requests of each hour, as a stream."""
+    from pipeweave.streaming.requests import drained, once_per_hour
+
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    return drained(once_per_hour(rows), "pw_once").select("event_id", "user_id", "event_type")

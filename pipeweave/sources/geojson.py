@@ -40,7 +40,9 @@ def _canonical(value) -> tuple[str | None, str | None]:
     if isinstance(value, Decimal):
         if abs(value.as_tuple().exponent) > 1000:
             return None, None
-        plain = f"{value.normalize():f}" if value else "0"
+        plain = f"{value:f}"
+        plain = plain.rstrip("0").rstrip(".") if "." in plain else plain
+        plain = plain if value else "0"
         return plain, f"n:{plain}"
     return (json.dumps(value, ensure_ascii=False), f"s:{value}") if isinstance(value, str) else (None, None)
 
