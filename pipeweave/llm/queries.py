@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipeweave.llm import oracles
 from pipeweave.llm.chat import digests, format_chat
 from pipeweave.llm.html import extract
 from pipeweave.llm.lm import score, train
@@ -88,4 +89,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_embedding_near_dedup": oracles.OP3,
+        "op4_minhash_near_dedup": oracles.OP4,
+        "op6_url_filters": oracles.op6(RULES),
+        "op7_chat_formatting": oracles.OP7,
+        "op8_substring_dedup": oracles.OP8,
+        "op9_html_extraction": oracles.OP9,
+    }
