@@ -693,3 +693,101 @@ def stream_requests_once(spark, sf_dir):
 
     rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
     return drained(once_per_hour(rows), "pw_once").select("event_id", "user_id", "event_type")
+
+
+# Groups, routes and exports
+
+_REACHED = "reach AS (SELECT node, node AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN both_ l ON l.a = r.node), least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"
+_ENVELOPES = "env AS (SELECT ordinal AS node, min(least(ax, ex)) AS x0, min(least(ay, ey)) AS y0, max(greatest(ax, ex)) AS x1, max(greatest(ay, ey)) AS y1 FROM g_line GROUP BY ordinal)"
+
+
+@query(None)
+def route_clusters(spark, sf_dir):
+    """Lines whose envelopes, each widened by 15 m, hang together."""
+    from pipeweave.operators import graph
+
+    env = scene(spark, sf_dir, "g_line").groupBy(F.col("ordinal").alias("node")).agg(F.min(F.least("ax", "ex")).alias("x0"), F.min(F.least("ay", "ey")).alias("y0"), F.max(F.greatest("ax", "ex")).alias("x1"), F.max(F.greatest("ay", "ey")).alias("y1"))
+    other = env.select(F.col("node").alias("b"), *[F.col(o).alias(n) for o, n in zip(B, ("u0", "v0", "u1", "v1"), strict=True)])
+    links = restrict.near_join(env.withColumnRenamed("node", "a"), other, B, ("u0", "v0", "u1", "v1"), 30.0, 256.0).where("a < b").select("a", "b")
+    return graph.groups(env.select("node"), links)
+
+
+ORACLES["route_clusters"] = with_scenes(
+    f"WITH {_ENVELOPES}, nodes AS (SELECT node FROM env), both_ AS (SELECT a.node AS a, b.node AS b FROM env a JOIN env b ON a.node <> b.node AND a.x0 - 15 <= b.x1 + 15 AND b.x0 - 15 <= a.x1 + 15 AND a.y0 - 15 <= b.y1 + 15 AND b.y0 - 15 <= a.y1 + 15), {_REACHED} SELECT node, root FROM least",
+    "g_line",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(None)
+def network_cycles(spark, sf_dir):
+    """Groups of noded edges, and whether they hold a cycle."""
+    from pipeweave.operators import graph
+
+    edges = network.noded(scene(spark, sf_dir, "g_line")).select(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")).alias("a"), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")).alias("b"))
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    return graph.cycles(nodes, edges).select("root.x", "root.y", "nodes", "links", "cyclic")
+
+
+ORACLES["network_cycles"] = with_scenes(
+    f"WITH {_NODING}, ids AS (SELECT ux * 100000000 + uy AS a, vx * 100000000 + vy AS b, ux, uy, vx, vy FROM edges), both_ AS (SELECT a, b FROM ids UNION SELECT b, a FROM ids), nodes AS (SELECT DISTINCT a AS node FROM both_), "
+    f"place AS (SELECT a AS node, ux AS x, uy AS y FROM ids UNION SELECT b, vx, vy FROM ids), {_REACHED}, n AS (SELECT root, count(*) AS nodes FROM least GROUP BY root), m AS (SELECT root, count(*) AS links FROM ids JOIN least ON least.node = ids.a GROUP BY root) "
+    "SELECT x, y, nodes, links, links >= nodes AS cyclic FROM n JOIN m USING (root) JOIN place ON place.node = root",
+    "g_line",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(None)
+def route_astar(spark, sf_dir):
+    """The shortest way of each target to one of its nearest lines within 120 m, around the boxes in between."""
+    from pipeweave.operators import graph
+
+    near = ties.nearest_k(_near_lines(spark, sf_dir).where("distance_m <= 120"), "target", 4, "distance_m", "ordinal", "seq")
+    tie = near.select("target", "x", "y", F.lit("tie").alias("kind"), F.col("tx").alias("x0"), F.col("ty").alias("y0"), F.col("tx").alias("x1"), F.col("ty").alias("y1"))
+    known = scene(spark, sf_dir, "g_obstacle").join(F.broadcast(rules.rule_table(spark).select("type", "special", "clearance")), "type").where("NOT special")
+    wide = known.selectExpr("x0 - clearance AS x0", "y0 - clearance AS y0", "x1 + clearance AS x1", "y1 + clearance AS y1")
+    targets = tie.select("target", "x", "y").distinct()
+    box = restrict.near_join(targets, wide, ("x", "y", "x", "y"), B, 120.0, 128.0).select("target", "x", "y", F.lit("box").alias("kind"), *B)
+    return graph.routes(tie.unionByName(box)).withColumn("length_m", F.round("length_m", 6))
+
+
+@query(
+    f"WITH runs AS (SELECT ordinal AS path, dn, count(*) AS atoms, round(sum({geo.length(S)}), 6) AS length_m FROM g_line GROUP BY ordinal, dn) SELECT path, dn, atoms + 1 AS vertices, length_m FROM runs", "g_line"
+)
+def export_chains(spark, sf_dir):
+    """Atoms with equal parameters merged to polylines."""
+    from pipeweave.sources.features import chains
+
+    return chains(scene(spark, sf_dir, "g_line").selectExpr("ordinal AS path", "seq AS i", "dn", *S)).select("path", "dn", F.size("xs").cast("bigint").alias("vertices"), F.round("length_m", 6).alias("length_m"))
+
+
+@query("SELECT ordinal, 'ok' AS state, length_m FROM (SELECT ordinal, CAST(count(*) + 1 AS BIGINT) AS length_m FROM g_line GROUP BY ordinal) q", "g_line")
+def export_wkb(spark, sf_dir):
+    """Lines as WKB; the number of vertices is read back from the bytes."""
+    from pipeweave.sources.features import chains, wkb_line
+
+    rows = chains(scene(spark, sf_dir, "g_line").selectExpr("ordinal AS path", "seq AS i", "dn", *S)).withColumn("wkb", wkb_line("xs", "ys"))
+    count = F.conv(F.hex(F.substring("wkb", 6, 4)), 16, 10).cast("bigint")
+    right = F.length("wkb") == 9 + 16 * count
+    return rows.select(F.col("path").alias("ordinal"), F.when(right, "ok").otherwise("broken").alias("state"), count.alias("length_m"))
+
+
+@query(
+    f"WITH {_SUMMED}, s AS (SELECT request, variant_id % 10 AS v, length_m, calculated FROM totals) SELECT a.request, a.v AS a, b.v AS b, abs(a.length_m - b.length_m) <= greatest(25, 0.1 * greatest(a.length_m, b.length_m)) AS near FROM s a JOIN s b ON a.request = b.request AND a.v < b.v",
+    "g_section",
+)
+def variant_distinct(spark, sf_dir):
+    """Pairs of variants of a request, and whether their lengths are near enough to be one."""
+    v = _variants(spark, sf_dir).select("request", F.pmod("variant_id", F.lit(10)).alias("a"), F.col("length_m").alias("la"))
+    w = v.select("request", F.col("a").alias("b"), F.col("la").alias("lb"))
+    return v.join(w, "request").where("a < b").selectExpr("request", "a", "b", "abs(la - lb) <= greatest(25, 0.1 * greatest(la, lb)) AS near")
+
+
+@query(
+    "WITH top AS (SELECT max(ts) AS now FROM g_request) SELECT event_id FROM g_request, top WHERE ts < now - INTERVAL 24 HOUR AND (event_type = 'error' OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))", "g_request"
+)
+def stale_files(spark, sf_dir):
+    """What is older than a day and temporary or of no known owner."""
+    rows = scene(spark, sf_dir, "g_request")
+    owners = scene(spark, sf_dir, "g_target").where("ordinal % 2 = 0").select(F.col("ordinal").alias("user_id"))
+    old = rows.join(F.broadcast(rows.agg(F.max("ts").alias("now"))), F.expr("ts < now - INTERVAL 24 HOUR"))  # one row
+    return old.where("event_type = 'error'").select("event_id").unionByName(old.where("event_type <> 'error'").join(owners, "user_id", "left_anti").select("event_id"))

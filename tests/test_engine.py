@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipeweave.functions import geo, rules
-from pipeweave.operators import depth, network, restrict, search, ties
-from pipeweave.sources import geojson
+from pipeweave.operators import depth, graph, network, restrict, search, ties
+from pipeweave.sources import features, geojson
 
 
 def one(spark, sql):
@@ -161,3 +161,27 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "a.ndjson").write_text(feature() + "\n" + feature(id=None) + "\n")
     got = requests.drained(requests.validated_files(spark, str(tmp_path / "in")), "pw_files")
     assert sorted((r.error_path or "") for r in got.collect()) == ["", "$.properties.id"]
+
+
+def test_routes():
+    target, tie, none = np.array([40.0, 50.0]), np.array([[0.0, 50.0]]), np.zeros((0, 4))
+    assert graph.astar(target, tie, none)[0] == [0, 1]
+    way, at = graph.astar(target, tie, np.array([[15.0, 40.0, 25.0, 60.0]]))
+    assert len(way) >= 3 and np.sqrt((np.diff(at[way], axis=0) ** 2).sum(axis=1)).sum() > 40
+    assert graph.astar(target, tie, np.array([[35.0, 40.0, 45.0, 60.0]])) is None  # inside
+
+
+def test_groups_and_cycles(spark):
+    nodes = spark.range(30).withColumnRenamed("id", "node")
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21), (21, 22), (20, 22)], "a long, b long")
+    got = {r.root: (r.nodes, r.links, r.cyclic) for r in graph.cycles(nodes, links).collect()}
+    assert got[0] == (10, 9, False) and got[20] == (3, 3, True) and got[15] == (1, 0, False) and len(got) == 18
+
+
+def test_features_out(spark):
+    atoms = spark.createDataFrame([(1, 0, 50, 0.0, 0.0, 3.0, 4.0), (1, 1, 50, 3.0, 4.0, 6.0, 8.0), (1, 2, 65, 6.0, 8.0, 6.0, 9.0)], "path long, i int, dn int, ax double, ay double, ex double, ey double")
+    rows = features.chains(atoms).orderBy("run").withColumn("wkb", features.wkb_line("xs", "ys")).collect()
+    assert [(r.dn, r.length_m, r.xs) for r in rows] == [(50, 10.0, [0.0, 3.0, 6.0]), (65, 1.0, [6.0, 6.0])]
+    assert rows[1].wkb.hex() == "000000000200000002" + "4018000000000000" "4020000000000000" "4018000000000000" "4022000000000000"
+    lines = features.synthetic(spark, 20)
+    assert geojson.validate(geojson.decode(lines)).where("error_path IS NOT NULL").count() == 0
