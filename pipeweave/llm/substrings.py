@@ -33,6 +33,10 @@ from pipeweave.llm.storage import Scratch
 from pipeweave.llm.words import Ranges, Words, columns, ngrams, signed
 
 _STEP = 1 << 16  # windows looked at together; bounds memory
+#: Names of documents (16 bytes each) are broadcast up to this number, so that the texts of all others stay
+#: where they are; with more, all texts are shuffled.
+BROADCAST_IDS = 1_000_000
+_KEYS = ["doc_id", "text_id"]
 
 
 def _anchors(h: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +174,10 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int, seed: int) -> DataFr
 
     # Anchors with several spans: window by window.
     where = seeds.where("n > 1").select("h", "c", "of.*")
-    where = where.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("h", "c", "first", "last")).alias("runs"))
-    windows = docs.join(where, ["doc_id", "text_id"]).select("doc_id", "text", "runs")
+    where = scratch.keep(where.groupBy(_KEYS).agg(F.collect_list(F.struct("h", "c", "first", "last")).alias("runs")), "where")
+    if where.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(where.select(_KEYS)), _KEYS, "left_semi")
+    windows = docs.join(where, _KEYS).select("doc_id", "text", "runs")
     windows = scratch.keep(windows.mapInArrow(_windows(length), "h long, c long, step int, w long, doc_id long"), "windows")
     least = windows.groupBy("h", "w").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     some = windows.join(least.where("n > 1").select("h", "w", "least"), ["h", "w"], "left").withColumn("least", F.coalesce("least", "doc_id"))
@@ -194,8 +200,14 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, length: int = 50, seed: i
     others = [x for x in docs.columns if x not in ("text", "n_words", "n_removed", "removed", "kept_sha256", "text_id", "spans")]
     named = docs.select(*others, "text", F.xxhash64("text").alias("text_id"))
     known = named.where("doc_id is not null and text is not null").select("doc_id", "text_id", "text")
-    found = repeats(known, scratch, length, seed)
-    out = named.join(found, ["doc_id", "text_id"], "left").select(*others, "text", "spans")
+    found = scratch.keep(repeats(known, scratch, length, seed), "found")
+    if found.count() <= BROADCAST_IDS:
+        ids = F.broadcast(found.select(_KEYS))
+        whole = named.join(ids, _KEYS, "left_anti").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+        out = whole.unionByName(named.join(ids, _KEYS, "left_semi").join(found, _KEYS, "left").select(whole.columns))
+    else:
+        out = named.join(found, _KEYS, "left")
+    out = out.select(*others, "text", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others)
     new = f"n_words long, n_removed long, removed array<struct<first:int,end:int>>, {'kept_sha256' if digest else 'text'} string"
     return out.mapInArrow(_cut(length, digest), f"{schema}, {new}")
