@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipeweave.llm.minhash import near_duplicates
@@ -37,9 +37,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_order(mix_sources(docs, Scratch(spark, "p-mixing"))).select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, as read from the files of one write, with mix_place: 0, 1, 2 ... in the order in which that write had the rows.
+
+    Readers deal out files by size, so the order of rows is not kept by reading; a row's file and its index
+    in the file are. Part numbers follow the range partitions of the sort. One row a file is numbered.
+    """
+    at = docs.withColumns({"_file": F.col("_metadata.file_path"), "_index": F.col("_metadata.row_index")})
+    number = lambda pattern: F.regexp_extract("_file", pattern, 1).try_cast("bigint")
+    before = Window.orderBy(number(r"part-(\d+)[^/]*$"), number(r"-c(\d+)\.[^/]*$"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = at.groupBy("_file").agg((F.max("_index") + 1).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return at.join(F.broadcast(files), "_file").withColumn("mix_place", F.col("_first") + F.col("_index")).select(*docs.columns, "mix_place")
+
+
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces, with the check that they decode to the text."""
-    return encode(docs, vocabulary_path(), check=True)
+    """All documents as pieces, with the check that they decode to the text, and their place in the mix, mix_place."""
+    return encode(placed(docs), vocabulary_path(), check=True)
 
 
 STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("pieces", pieces)]

@@ -99,3 +99,28 @@ def test_pipeline(spark, tmp_path, texts):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.where(F.lit(False)), str(tmp_path))
         assert out.count() == 0 and (name == "pieces" or out.columns == docs.columns)
+
+
+def test_the_mix_outlives_the_reread(spark, tmp_path, monkeypatch):
+    """The places that run() returns are those of the mix, over many files of uneven sizes."""
+    pytest.importorskip("public_tokenizers")
+    r = random.Random(9)
+    rows = [(i, "wort " * r.randint(1, 300), "en", f"s{min(i % 7, 2)}", 1) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    kept, keep = [], corpus_pipeline.Scratch.keep
+    monkeypatch.setattr(corpus_pipeline.Scratch, "keep", lambda self, df, name: kept.append(out := keep(self, df, name)) or out)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "mix_place").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(kept[-1].inputFiles()) == 13
+    assert sorted(x.mix_place for x in got) == list(range(900))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = mixing.mix_sources(docs, corpus_pipeline.Scratch(spark, "t")).orderBy("mix_place").select("doc_id")
+    assert [x.doc_id for x in sorted(got, key=lambda x: x.mix_place)] == [x.doc_id for x in want.collect()]
+    assert [x.doc_id for x in got] != [x.doc_id for x in sorted(got, key=lambda x: x.mix_place)]  # reading alone does not keep it
