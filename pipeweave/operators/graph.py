@@ -9,38 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipeweave.llm.components import components
+from pipeweave.llm.storage import Scratch
 
-def groups(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
+
+def groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, root: the smallest node that each hangs together with. nodes: node; links: a, b.
 
-    Labels flow along links and then jump to their label's label, so rounds grow with the logarithm of a
-    path's length. Each round cuts its lineage with a checkpoint and ends when no label changed; only that
-    number reaches the driver.
+    By alternating stars, until nothing changes; rounds grow with the logarithm of a path's length. Only a
+    count and a sum of hashes reach the driver. Links with an end that is no node are ignored.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = nodes.select("node", F.col("node").alias("root"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = label.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("low"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = low.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("far", "low")).alias("root"))
-        new = _cut(new)
-        changed = new.where("old <> root").limit(1).count()
-        label = new.select("node", "root")
-        if not changed:
-            break
-    return label
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; where none is set, as on one machine, a cache."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    own = nodes.select("node")
+    known = links.select("a", "b").join(own.select(F.col("node").alias("a")).distinct(), "a", "left_semi").join(own.select(F.col("node").alias("b")).distinct(), "b", "left_semi")
+    found = components(known, Scratch(nodes.sparkSession, "groups"))
+    return own.join(found, "node", "left").select("node", F.coalesce("component_id", "node").alias("root"))
 
 
 def cycles(nodes: DataFrame, links: DataFrame) -> DataFrame:

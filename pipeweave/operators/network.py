@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipeweave.functions import geo
+from pipeweave.llm.storage import Scratch
 from pipeweave.operators.cells import near_join
 from pipeweave.operators.restrict import S, boxed
 
@@ -43,23 +44,24 @@ def degrees_of(edges: DataFrame) -> DataFrame:
     return both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def paths_up(edges: DataFrame, root: str, most: int = 64) -> DataFrame:
+def paths_up(edges: DataFrame, root: str) -> DataFrame:
     """node, above, depth: every node with each node on its way to the root, itself included.
 
     edges: node, parent. The way doubles each round (pointer jumping), so rounds grow with the logarithm
-    of the depth.
+    of the depth, and end when no jump is left. Ways longer than there are nodes are a cycle, an error.
+    Each round is written, so that the next does not compute it again.
     """
-    out = edges.select("node", F.col("node").alias("above"), F.lit(0).alias("depth"))
-    step = edges.select("node", F.col("parent").alias("jump")).where(F.col("parent") != root)
-    size = 1
-    while size < most:
-        more = out.join(step.withColumnRenamed("node", "_n"), F.col("above") == F.col("_n")).select("node", F.col("jump").alias("above"), (F.col("depth") + size).alias("depth"))
-        out = out.unionByName(more)
-        again = step.withColumnsRenamed({"node": "_m", "jump": "_to"})
-        step = step.join(again, F.col("jump") == F.col("_m")).select("node", F.col("_to").alias("jump"))
-        size *= 2
-        if step.isEmpty():
-            break
+    scratch, nodes = Scratch(edges.sparkSession, "paths"), edges.select("node").distinct().count()
+    steps = [scratch.keep(edges.select("node", F.col("parent").alias("jump")).where(F.col("parent") != root), "step")]
+    while not steps[-1].isEmpty():
+        if 2 ** (len(steps) - 1) > nodes:
+            raise ValueError("the edges have a cycle: some nodes never come to the root")
+        again = steps[-1].withColumnsRenamed({"node": "_m", "jump": "_to"})
+        steps.append(scratch.keep(steps[-1].join(again, F.col("jump") == F.col("_m")).select("node", F.col("_to").alias("jump")), "step"))
+    out = edges.select("node", F.col("node").alias("above"), F.lit(0).cast("bigint").alias("depth"))
+    for i, step in enumerate(steps[:-1]):
+        more = out.join(step.withColumnRenamed("node", "_n"), F.col("above") == F.col("_n")).select("node", F.col("jump").alias("above"), (F.col("depth") + 2**i).alias("depth"))
+        out = scratch.keep(out.unionByName(more), "paths")
     return out
 
 

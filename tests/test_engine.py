@@ -100,6 +100,18 @@ def test_subtree_flow_of_a_chain(spark):
     assert {r.node: r.flow for r in network.subtree_flow(edges).collect()} == {f"n{i}": i + 1.0 for i in range(10)}
 
 
+def test_deep_chains_and_cycles(spark):
+    r = np.random.default_rng(3)
+    order = [f"n{i}" for i in r.permutation(300)]
+    rows = [(a, b, 1.0) for a, b in zip(order, [*order[1:], "root"], strict=True)]
+    edges = spark.createDataFrame([rows[i] for i in r.permutation(300)], "node string, parent string, flow double")
+    assert {x.node: (x.flow, x.nodes) for x in network.subtree_flow(edges).collect()} == {n: (i + 1.0, i + 1) for i, n in enumerate(order)}
+    sized = spark.createDataFrame([(n, 100 if i else 500) for i, n in enumerate(order)], "node string, dn int")
+    assert {x.dn for x in network.monotone_dn(edges, sized).collect()} == {500}
+    with pytest.raises(ValueError, match="cycle"):
+        network.paths_up(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0)], "node string, parent string, flow double"), "root")
+
+
 def feature(**p):
     g = p.pop("geometry", {"type": "Point", "coordinates": [37.6, 55.75]})
     return json.dumps({"type": "Feature", "properties": {"id": 1, "object_type": "source", **p}, "geometry": g})
@@ -178,6 +190,16 @@ def test_groups_and_cycles(spark):
     assert got[0] == (10, 9, False) and got[20] == (3, 3, True) and got[15] == (1, 0, False) and len(got) == 19
 
 
+def test_long_groups(spark):
+    r = np.random.default_rng(5)
+    order = [int(x) for x in r.permutation(700)]
+    zigzag = [*range(1001, 1300, 2), *range(1298, 1000, -2)]
+    links = [*zip(order, order[1:], strict=False), *zip(zigzag, zigzag[1:], strict=False)]
+    nodes = spark.createDataFrame([(x,) for x in [*order, *zigzag, 5000]], "node long")
+    got = {x.root: (x.nodes, x.links, x.cyclic) for x in graph.cycles(nodes, spark.createDataFrame([links[i] for i in r.permutation(len(links))], "a long, b long")).collect()}
+    assert got == {0: (700, 699, False), 1001: (len(zigzag), len(zigzag) - 1, False), 5000: (1, 0, False)}
+
+
 def test_features_out(spark):
     atoms = spark.createDataFrame([(1, 0, 50, 0.0, 0.0, 3.0, 4.0), (1, 1, 50, 3.0, 4.0, 6.0, 8.0), (1, 2, 65, 6.0, 8.0, 6.0, 9.0)], "path long, i int, dn int, ax double, ay double, ex double, ey double")
     rows = features.chains(atoms).orderBy("run").withColumn("wkb", features.wkb_line("xs", "ys")).collect()
