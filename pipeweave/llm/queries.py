@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pipeweave.llm import oracles
 from pipeweave.llm.chat import digests, format_chat
 from pipeweave.llm.html import extract
-from pipeweave.llm.lm import score, train
 from pipeweave.llm.minhash import near_duplicates
 from pipeweave.llm.mixing import NEW, mix_sources
 from pipeweave.llm.pieces import encode, vocabulary_path
@@ -17,6 +16,7 @@ from pipeweave.llm.storage import Scratch
 from pipeweave.llm.substrings import substring_dedup
 from pipeweave.llm.urls import judge_urls
 from pipeweave.llm.vectors import near_vectors
+from pipeweave.llm.wordlm import score_words
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -47,7 +47,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target: documents labelled as of good quality and not toxic. Every document is scored."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
-    return score(docs, train(docs, labels.where("q = 1 and t = 0").select("doc_id"), Scratch(spark, "op5")))
+    return score_words(docs, labels.where("q = 1 and t = 0").select("doc_id"), Scratch(spark, "op5"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
