@@ -2,17 +2,25 @@
 
 A small tokenizer cuts a page into blocks at block-level tags and counts for each its words, stop words
 and characters in links, and tells where it stands: in boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments, by tag or by class or id), in an article, or elsewhere.
+notices, adverts, forms, reader comments, by tag, by role or by a whole class name or id), in an article,
+in a main part, in a box of related links, or elsewhere.
 
-First pass, in DataFrame expressions: boilerplate is bad. In an article a block is good unless links fill
-most of it; on pages with an article all else is bad. On pages without, link density, length and
-stop-word density decide: good, bad, nearly good, or too short to tell. Second pass: a short block is
-good if its nearest decided neighbours on both sides are, a nearly good one if either is; the edges of
-the page count as bad. The labels of a page are one string, a character a block, and the neighbours are
-found by look-ahead in it and in its reverse.
+First pass, in DataFrame expressions: boilerplate is bad. In an article every block is good, linked ones
+too, but for boxes of related links that are mostly links; on pages with an article all else is bad. On
+pages without, the main part, or else the whole page, is judged by link density, length and stop-word
+density: good, bad, nearly good, or too short to tell. If nothing is good so, as in languages without
+known stop words, length and link density decide alone, and if nothing is long, all that is not linked is
+good. Second pass: a short block is good if its nearest decided neighbours on both sides are, a nearly
+good one if either is; the edges of the page count as bad. The labels of a page are one string, a
+character a block, and neighbours are the ends of its runs.
 
-White space in a block becomes one blank, blocks are joined by one blank in page order. Rows: one per
-input row, with its columns but the html, and text, n_chars. Null or empty html: empty text.
+A class name is boilerplate only as a whole: all its parts are boilerplate words or neutral ones such as
+box or site, so "ad-box" is and "ad-hoc" or "related-work" are not.
+
+White space in a block becomes one blank, blocks are joined by one blank in page order. Work is linear in
+the page, however its tags are left open. Rows: one per input row, with its columns but the html, and
+text, n_chars; columns of the input that have one of these names, or _blocks or _labels, are replaced.
+Null or empty html: empty text. Repeated rows are treated alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +44,7 @@ STOP_WORDS = frozenset(
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S
 )
-_CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -45,26 +54,66 @@ _BLOCKS = frozenset(
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _BAD = frozenset("nav header footer aside form menu fieldset".split())
-_BAD_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo consent cookie cookies disqus "
-    "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted related replies "
-    "respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
+#: Of these, what holds an article all the same is a page in a form or a tag left open, and does not make it boilerplate.
+_LOOSE = frozenset("nav header form menu fieldset".split())
+_BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_BAD_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login "
+    "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted replies respond search share sharing "
+    "sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+#: Parts that leave the meaning of a name as it is; digits do too.
+_NEUTRAL = frozenset("area bar block body bottom box btn button buttons container content form global group inner item items left link links list main outer page panel primary right secondary section site slot top unit wrap wrapper".split())
+_LINK_BOXES = frozenset("related recommended recommendations more-articles read-more see-also further-reading related-articles related-links related-posts".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Tags whose opening ends an open one of the same group within the same container.
-_ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "a": ("a",)}
+#: Open blocks of these tags that the start of a tag ends, when nothing else is open within them.
+_CELLS = frozenset("td th".split())
+_ENDS = {
+    "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr"},
+    "tbody": _CELLS | {"tr", "thead", "tbody"}, "tfoot": _CELLS | {"tr", "thead", "tbody"}, "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"]),
+}
+#: Where text stands.
+HIDDEN, BOILERPLATE, ELSEWHERE, ARTICLE, MAIN, LINKBOX = -2, -1, 0, 1, 2, 3
+
+
+@lru_cache(maxsize=4096)
+def _kind(name: str) -> str:
+    """What a whole class name or id says: bad, head, links or nothing."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w and not w.isdigit()]
+    if any(w in _BAD_WORDS for w in parts) and all(w in _BAD_WORDS or w in _NEUTRAL for w in parts):
+        return "head" if "header" in parts and not any(w in _BAD_WORDS for w in parts if w != "header") else "bad"
+    return "links" if "-".join(parts) in _LINK_BOXES else ""
+
+
+def _named(attributes: str) -> str:
+    """bad, head, links or nothing, of a tag's class, id and role."""
+    out = ""
+    for m in _CLASS.finditer(attributes):
+        value = m[2] or m[3] or m[4] or ""
+        if m[1].lower() == "role":
+            if value.strip().lower() in _BAD_ROLES:
+                return "bad"
+        else:
+            kinds = {_kind(x) for x in value.split()}
+            if "bad" in kinds:
+                return "bad"
+            out = "head" if "head" in kinds else out or ("links" if "links" in kinds else "")
+    return out
+
 
+class _Frame:
+    """An open block with the inline tags that are open in it: (tag, zone)."""
 
-def _named_bad(attributes: str) -> bool:
-    names = " ".join(x for m in _CLASS.findall(attributes) for x in m)
-    return any(w in _BAD_NAMES for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", names).lower()))
+    __slots__ = ("firm", "head", "inline", "name", "open", "zone")
+
+    def __init__(self, name: str, zone: int, firm: bool, head: bool) -> None:
+        self.name, self.zone, self.firm, self.head, self.inline, self.open = name, zone, firm, head, [], {}
 
 
 def blocks_of(page: str) -> Iterator[dict]:
-    """text, words, stops, chars, linked (characters) and zone (-1 boilerplate, 1 article, 0 elsewhere) of each block with text."""
-    stack: list[tuple[str, int]] = [("", 0)]  # open tags, and the zone within; -2: dropped
-    text: list[str] = []
-    linked, links, at, n, zone = 0, 0, 0, len(page), 0
+    """text, words, stops, chars, linked (characters) and zone of each block with text."""
+    frames, open_, text = [_Frame("", ELSEWHERE, False, False)], {}, []
+    linked, links, at, n, zone = 0, 0, 0, len(page), ELSEWHERE
 
     def flush() -> Iterator[dict]:
         nonlocal linked
@@ -75,14 +124,22 @@ def blocks_of(page: str) -> Iterator[dict]:
         text.clear()
         linked = 0
 
-    def pop(to: int) -> None:
+    def pop() -> None:
+        nonlocal links
+        frame = frames.pop()
+        links -= frame.open.get("a", 0)
+        open_[frame.name] -= 1
+
+    def pop_inline(frame: _Frame) -> str:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[to:])
-        del stack[to:]
+        name = frame.inline.pop()[0]
+        frame.open[name] -= 1
+        links -= name == "a"
+        return name
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece and zone != -2:
+        if piece and zone != HIDDEN:
             piece = html.unescape(piece)
             text.append(piece)
             if links:
@@ -97,75 +154,118 @@ def blocks_of(page: str) -> Iterator[dict]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        if name in _BLOCKS:
-            yield from flush()
+        block = name in _BLOCKS
+        if block:
+            if text:
+                yield from flush()
         elif name == "br":
             text.append(" ")
+        top = frames[-1]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if block and open_.get(name):
+                while frames[-1].name != name:
+                    pop()
+                pop()
+            elif not block and top.open.get(name):  # an inline tag ends no block
+                while pop_inline(top) != name:
+                    pass
         elif name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
         elif name not in _VOID:
-            ends = ("p",) if name in _BLOCKS else ()
-            ends += _ENDS.get(name, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    pop(i)
-                    break
-                if stack[i][0] in _BLOCKS and not (name == "a") and stack[i][0] not in _HEADINGS:
-                    break
-            if name in ("article", "main"):  # what was left open before it ends here, unless it was named bad
-                while stack[-1][0] in _BAD and stack[-1][1] == -1:
-                    pop(len(stack) - 1)
-            above = stack[-1][1]
-            if above == -2 or name in _DROPPED or _HIDDEN.search(m[3]):
-                new = -2
-            elif name in ("html", "body"):
-                new = above
-            elif name in ("article", "main"):
-                new = -1 if above == -1 or (name == "article" and _named_bad(m[3])) else 1
-            elif name in _HEADINGS and above == -1 and stack[-1][0] == "header" and len(stack) > 1 and stack[-2][1] == 1:
-                new = 1  # an article's own headline
+            if block:
+                if top.name == "p":
+                    pop()
+                ends = _ENDS.get(name, ())
+                while frames[-1].name in ends:
+                    pop()
+                top = frames[-1]
+            elif name == "a" and top.open.get("a"):  # links do not nest
+                while pop_inline(top) != "a":
+                    pass
+            above, firm = top.inline[-1][1] if top.inline else top.zone, top.firm
+            said = _named(m[3]) if m[3] and name not in ("html", "body") else ""
+            if above == HIDDEN or name in _DROPPED or (m[3] and _HIDDEN.search(m[3])):
+                new = HIDDEN
+            elif name == "article":
+                bad = said == "bad" or (above == BOILERPLATE and firm)
+                new, firm = (BOILERPLATE, True) if bad else (ARTICLE, False)
+            elif above == BOILERPLATE:
+                new = ARTICLE if name in _HEADINGS and top.head else BOILERPLATE  # an article's own headline
+                firm = firm or said in ("bad", "head") or (name in _BAD and name not in _LOOSE)
+            elif said in ("bad", "head") or name in _BAD:
+                new, firm = BOILERPLATE, said in ("bad", "head") or name not in _LOOSE
+            elif above == ELSEWHERE and (name == "main" or (m[3] and "main" in (x[2] or x[3] or x[4] for x in _CLASS.finditer(m[3]) if x[1].lower() == "role"))):
+                new = MAIN
+            else:
+                new = LINKBOX if said == "links" and above != ELSEWHERE else above
+            if block:
+                head = new == BOILERPLATE and (top.head if above == BOILERPLATE else above == ARTICLE and (name == "header" or said == "head"))
+                frames.append(_Frame(name, new, firm, head and said != "bad" and (name == "header" or name not in _BAD)))
+                open_[name] = open_.get(name, 0) + 1
             else:
-                new = -1 if above == -1 or name in _BAD or _named_bad(m[3]) else above
-            stack.append((name, new))
-            links += name == "a"
-        if name in _BLOCKS or stack[-1][1] != zone:
+                top.inline.append((name, new))
+                top.open[name] = top.open.get(name, 0) + 1
+                links += name == "a"
+        now = frames[-1].inline[-1][1] if frames[-1].inline else frames[-1].zone
+        if now != zone:
             yield from flush()
-            zone = stack[-1][1]
+            zone = now
     yield from flush()
 
 
 _KIND = pa.list_(pa.struct([("text", pa.string()), ("words", pa.int32()), ("stops", pa.int32()), ("chars", pa.int32()), ("linked", pa.int32()), ("zone", pa.int8())]))
 
 
-def _label(b: Column, article: Column) -> Column:
+def _length(b: Column) -> Column:
+    """Words, or what the characters would make in words where no blanks part them."""
+    return F.greatest(b["words"], F.floor(b["chars"] / 6))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once a row and not once for each element that body looks at."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _labels(blocks: Column) -> Column:
     """First pass: g good, b bad, n nearly good, s too short to tell."""
-    return (
-        F.when(b["zone"] < 0, "b")
-        .when(b["zone"] == 1, F.when(2 * b["linked"] <= b["chars"], "g").otherwise("s"))
-        .when(article, "b")
-        .when(3 * b["linked"] > b["chars"], "b")
-        .when(b["words"] < 10, F.when(b["linked"] > 0, "b").otherwise("s"))
-        .when(100 * b["stops"] >= 30 * b["words"], F.when(b["words"] >= 30, "g").otherwise("n"))
-        .when(b["words"] >= 20, "n")
-        .otherwise("s")
-    )
+    joined = lambda rule: F.array_join(F.transform(blocks, rule), "")
+    mostly = lambda b: 2 * b["linked"] > b["chars"]
+    in_article = lambda b: F.when(b["zone"] == ARTICLE, "g").when((b["zone"] == LINKBOX) & ~mostly(b), "g").otherwise("b")
+
+    def judged(main: Column) -> Column:
+        """By rules of blocks, in the main part if there is one."""
+
+        def out_of_place(b: Column) -> Column:
+            here = F.when(main, b["zone"] == MAIN).otherwise(b["zone"] == ELSEWHERE)
+            return ~(here | (b["zone"] == LINKBOX)) | (3 * b["linked"] > b["chars"])
+
+        def dense(b: Column) -> Column:
+            by_stops = F.when(_length(b) >= 30, "g").otherwise("n")
+            short = F.when(b["linked"] > 0, "b").otherwise("s")
+            return F.when(out_of_place(b), "b").when(_length(b) < 10, short).when(100 * b["stops"] >= 30 * b["words"], by_stops).when(_length(b) >= 20, "n").otherwise("s")
+
+        long = lambda b: F.when(out_of_place(b), "b").when(_length(b) >= 10, "g").otherwise("s")
+        any_ = lambda b: F.when(out_of_place(b), "b").otherwise("g")
+        or_else = lambda labels, other: F.when(labels.contains("g"), labels).otherwise(other)
+        return _let(joined(dense), lambda x: or_else(x, _let(joined(long), lambda y: or_else(y, joined(any_)))))
+
+    has = lambda zone: F.exists(blocks, lambda b: b["zone"] == zone)
+    return F.when(has(ARTICLE), joined(in_article)).otherwise(_let(has(MAIN), judged))
 
 
 def _decided(labels: Column) -> Column:
-    """Second pass: one character a block, g or b."""
-    ahead = lambda x: F.regexp_replace(x, r"[sn](?=[sn]*+g)", "G")  # noqa: E731  the nearest decided block that follows is good
-    marked = lambda x: F.translate(ahead(x), "gbsn", "....")
-    after, before = marked(labels), F.reverse(marked(F.reverse(labels)))
-    chars = lambda x: F.split(x, "(?!^)")
-    both = F.zip_with(chars(after), chars(before), lambda a, b: F.concat(a, b))
-    rule = lambda label, sides: (label == "g") | ((label == "s") & (sides == "GG")) | ((label == "n") & (sides != ".."))
-    return F.zip_with(chars(labels), both, rule)
+    """Second pass: g or b for each block."""
+
+    def settled(runs: Column) -> Column:
+        def one(run: Column, i: Column) -> Column:
+            before, after = F.coalesce(F.right(F.get(runs, i - 1), F.lit(1)) == "g", F.lit(False)), F.coalesce(F.left(F.get(runs, i + 1), F.lit(1)) == "g", F.lit(False))
+            to = F.when(before & after, "gg").when(before | after, "bg").otherwise("bb")
+            return F.when(run.rlike("^[sn]"), F.call_function("translate", run, F.lit("sn"), to)).otherwise(run)
+
+        return F.split(F.array_join(F.transform(runs, one), ""), "(?!^)")
+
+    return _let(F.split(labels, r"(?<=[gb])(?=[sn])|(?<=[sn])(?=[gb])"), settled)
 
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:
@@ -182,8 +282,6 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in others]
     kind = "_blocks array<struct<text:string,words:int,stops:int,chars:int,linked:int,zone:tinyint>>"
     cut_up = pages.select(*others, source).mapInArrow(cut, ", ".join([*fields, kind]))
-    article = F.exists("_blocks", lambda b: b["zone"] == 1)
-    labelled = cut_up.withColumn("_labels", F.array_join(F.transform("_blocks", lambda b: _label(b, article)), ""))
-    kept = F.filter(F.zip_with("_blocks", _decided(F.col("_labels")), lambda b, ok: F.struct(b["text"].alias("text"), ok.alias("ok"))), lambda x: x["ok"])
-    out = labelled.withColumn("text", F.array_join(F.transform(kept, lambda x: x["text"]), " "))
+    kept = _let(_decided(_labels(F.col("_blocks"))), lambda good: F.filter("_blocks", lambda b, i: F.get(good, i) == "g"))
+    out = cut_up.withColumn("text", F.array_join(F.transform(kept, lambda x: x["text"]), " "))
     return out.select(*others, "text", F.length("text").cast("long").alias("n_chars"))

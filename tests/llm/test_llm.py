@@ -360,6 +360,83 @@ def test_extraction_without_article(spark):
     assert text_of(spark, page) == [f"{good} Short one. {good}"]
 
 
+def test_extraction_keeps_all_of_an_article(spark):
+    links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(3))
+    pages = {
+        "<article><h1><a href=x>Linked headline</a></h1><p>Body.</p></article>": "Linked headline Body.",
+        '<article><p>One.</p><section id="related-work"><p>Two.</p></section></article>': "One. Two.",
+        '<article><p class="ad-hoc">One.</p><p class="ad">Buy.</p><div class="ad-box-2">Buy.</div></article>': "One.",
+        f"<article><p>Body.</p><ul>{links}</ul></article>": "Body. Source 0 Source 1 Source 2",
+        f"<article><p>Body.</p><div class=related><ul>{links}</ul></div></article>": "Body.",
+        "<article><div class=page-header><h1>Head</h1><p>by line</p></div><p>Body.</p></article>": "Head Body.",
+        "<form><article><p>A page in a form.</p><form>Name</form></article></form>": "A page in a form.",
+        "<aside><article><p>Teaser.</p></article></aside><article><p>Body.</p></article>": "Body.",
+        "<article><b><p>One</b> two</p>three</article><p>after</p>": "One two three",
+        '<article><p>One <span class="share">Share</span> two.</p><div role="navigation">x</div></article>': "One two.",
+    }
+    assert text_of(spark, *pages) == list(pages.values())
+
+
+def test_extraction_takes_linear_time(spark):
+    import time
+
+    from pipeweave.llm.html import blocks_of
+
+    n = 100_000
+    for page in ("<font>" * n, "<div>" * n + "</span>" * n, "<span>" + "<font>" * n + "</i>" * n, "<li><div>" * n + "</p>" * n, "<p>a" * n, "<a href=x>" * n, "<table><tr><td>" * n + "</li>" * n):
+        began = time.process_time()
+        for _ in blocks_of("<article>" + page + "</article>"):
+            pass
+        assert time.process_time() - began < 1e-5 * page.count("<")  # a second for 100 000 tags
+    many = "<p>short</p>" * 20_000
+    assert text_of(spark, f"<div><p>{'the house of the man is in it as you ' * 5}</p>{many}</div>")[0].count("short") == 0
+
+
+def test_block_rules_against_brute_force(spark):
+    r = random.Random(9)
+    stops, rare = "the of and is in to".split(), [f"w{i}" for i in range(50)]
+    pages, want = [], []
+    for _ in range(60):
+        blocks = []
+        for _ in range(r.randint(1, 9)):
+            share, n = r.choice([0.1, 0.6]), r.choice([3, 8, 12, 25, 40])
+            words = [r.choice(stops if r.random() < share else rare) for _ in range(n)]
+            blocks.append((words, r.choice([0, 0, 0, n // 2, n])))
+        pages.append("".join(f"<div><a href=x>{' '.join(w[:k])}</a> {' '.join(w[k:])}</div>" if k else f"<div>{' '.join(w)}</div>" for w, k in blocks))
+
+        def first(w, k, rule):
+            text, linked = " ".join(w), len(" ".join(w[:k]))
+            size = max(len(w), len(text) // 6)
+            if 3 * linked > len(text):
+                return "b"
+            if rule == "dense":
+                if size < 10:
+                    return "b" if linked else "s"
+                if 100 * sum(x in stops for x in w) >= 30 * len(w):
+                    return "g" if size >= 30 else "n"
+                return "n" if size >= 20 else "s"
+            return "g" if rule == "any" or size >= 10 else "s"
+
+        for rule in ("dense", "long", "any"):
+            labels = [first(w, k, rule) for w, k in blocks]
+            if "g" in labels:
+                break
+        kept = []
+        for i, x in enumerate(labels):
+            sides = [next((y for y in side if y in "gb"), "b") == "g" for side in (labels[i::-1], labels[i:])]
+            if x == "g" or (x == "s" and all(sides)) or (x == "n" and any(sides)):
+                kept.append(" ".join(blocks[i][0]))
+        want.append(" ".join(kept))
+    assert text_of(spark, *pages) == want
+
+
+def test_extraction_in_other_languages(spark):
+    long = "Дом который стоял в середине города был не для тех людей которые жили там раньше."
+    assert text_of(spark, f"<p>{long}</p><p>Коротко.</p><p>{long}</p><div><a href=1>Ещё</a></div>", "<p>日本語のテキストです。</p>" * 20, "<p>Body</p>", f"<main><p>Short body.</p></main><p>{long}</p>") == [
+        f"{long} Коротко. {long}", " ".join(["日本語のテキストです。"] * 20), "Body", "Short body.",
+    ]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_extraction_of_the_table(spark):
     for r in extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("raw", F.col("html"))).collect():
