@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.components import components
-from pipeweave.llm.storage import Scratch
+from pipeweave.operators.components import components
+from pipeweave.storage import Scratch
 
 
 def groups(nodes: DataFrame, links: DataFrame) -> DataFrame:

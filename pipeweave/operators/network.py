@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipeweave.functions import geo
-from pipeweave.llm.storage import Scratch
+from pipeweave.storage import Scratch
 from pipeweave.operators.cells import near_join
 from pipeweave.operators.restrict import S, boxed
 
