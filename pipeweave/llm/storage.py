@@ -1,42 +1,5 @@
-"""Tables written to the folder that driver and executors share, to cut lineage."""
+"""Tables written to the shared folder: the library's, under the name that the operators use."""
 
-from __future__ import annotations
+from pipeweave.storage import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("pipeweave.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pipeweave-")
-        spark.conf.set("pipeweave.scratch.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """A folder of one query's intermediate tables. Each is Parquet in the shared folder, so a lost
-    executor costs only the tasks that ran on it."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read back."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._pipeweave_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = getattr(df, "_pipeweave_path", None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["Scratch", "shared_dir"]
