@@ -8,13 +8,16 @@ codes of 1024 x 1024 filters and a cap of 3.84, a vector has about 160 filters,
 share one with 0.4 %, and a pair of cosine 0.93 shares none with about 0.001 % (measured on random
 vectors; tests/llm compares whole tables with brute force).
 
-Equal vectors collapse to the one of the smallest vec_id, which carries their number. A bucket of a
+Equal vectors of a label are one, sid, which carries the number of vec_ids that have it. A bucket of a
 filter is split into chunks of about `chunk` vectors, and two chunks at a time are compared in one task;
-a pair counts in the bucket of the smallest filter it shares. Links are not written out: each comparison
-gives a row per vector with its number of new links and the least vector it hangs together with there.
-
-Rows: one per distinct vec_id. Vectors that are null, zero, or hold null or non-finite components, and
-those without label, have no links. Vectors of different length are never compared.
+a pair counts in the bucket of the smallest filter it shares, so a vector goes to a bucket with those of
+its filters that are smaller. Links are not written out: each comparison gives a row per vector with its
+number of new links and the least vector it hangs together with there.
+
+Rows: one per distinct vec_id; null ones are left out. Vectors that are null, zero, or hold null or
+non-finite components, and those without label, have no links. Vectors of different length are never
+compared. Repeated rows of one vec_id with different vectors: it is linked with what any of them is linked
+with, n_links is the largest number. Other columns are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -151,11 +154,10 @@ def near_vectors(
     given = given.select("vec_id", "embedding", F.col("label").cast("long").alias("label")).where("vec_id is not null")
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = given.where("label is not null and embedding is not null").where(~odd).where(F.exists("embedding", lambda x: x != 0))
-    equal = scratch.keep(
-        sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n")).withColumn("dim", F.size("embedding").cast("long")),
-        "equal",
-    )
-    lists = equal.mapInArrow(_listed(words, codes, cap, seed), "id long, label long, dim long, filters array<long>")
+    sound = sound.withColumn("sid", F.xxhash64("label", "embedding"))
+    equal = sound.groupBy("sid").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("n"))
+    equal = scratch.keep(equal.withColumn("dim", F.size("embedding").cast("long")), "equal")
+    lists = equal.withColumnRenamed("sid", "id").mapInArrow(_listed(words, codes, cap, seed), "id long, label long, dim long, filters array<long>")
     listed = scratch.keep(lists.select("id", "label", "dim", F.explode("filters").alias("filter")), "filters")
     bucket = ["label", "dim", "filter"]
     many = listed.groupBy(bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -167,15 +169,22 @@ def near_vectors(
     placed = placed.withColumns({"lo": F.least("part", "other").cast("long"), "hi": F.greatest("part", "other").cast("long")})
     rows = placed.count()
     groups = max(1, rows // 20_000)
-    own = shared.groupBy("id").agg(F.collect_list("filter").alias("shared")).join(equal.select("id", "embedding", "n"), "id")
+    own = shared.groupBy("id").agg(F.collect_list("filter").alias("all")).join(equal.select(F.col("sid").alias("id"), "embedding", "n"), "id")
     blocks = placed.join(own, "id").withColumn("g", F.pmod(F.xxhash64(*bucket, "lo", "hi"), F.lit(groups)))
+    blocks = blocks.withColumn("shared", F.expr("filter(all, x -> x < filter)"))
     found = scratch.keep(
         blocks.select("g", *bucket, "lo", "hi", "id", "part", "n", "embedding", "shared").groupBy("g").applyInArrow(_compared(least), "id long, new long, root long"), "found"
     )
-    reach = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    per = equal.select("id", "label", "embedding", "n").join(found.groupBy("id").agg(F.sum("new").alias("new")), "id", "left").join(reach.withColumnRenamed("node", "id"), "id", "left")
-    per = per.select("label", "embedding", (F.col("n") - 1 + F.coalesce("new", F.lit(0))).alias("links"), F.coalesce("component_id", "id").alias("c"))
-    named = sound.join(per, ["label", "embedding"]).groupBy("vec_id").agg(F.max("links").alias("links"), F.min("c").alias("c"))
+    # From here on a vector goes by its smallest vec_id, and a vec_id of several vectors ties those together.
+    of = equal.select(F.col("sid").alias("id"), "least")
+    links = found.select("id", "root").distinct().join(of.withColumnRenamed("least", "a"), "id").select("root", "a").join(of.withColumnsRenamed({"id": "root", "least": "b"}), "root").select("a", "b")
+    several = sound.groupBy("vec_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("vec_id")
+    tied = sound.join(several, "vec_id").select(F.col("vec_id").alias("a"), F.col("sid").alias("id")).distinct().join(of.withColumnRenamed("least", "b"), "id").select("a", "b")
+    reach = components(links.unionByName(tied), scratch)
+    new = found.groupBy(F.col("id").alias("sid")).agg(F.sum("new").alias("new"))
+    per = equal.select("sid", "least", "n").join(new, "sid", "left").join(reach.withColumnRenamed("node", "least"), "least", "left")
+    per = per.select("sid", (F.col("n") - 1 + F.coalesce("new", F.lit(0))).alias("links"), F.coalesce("component_id", "least").alias("c"))
+    named = sound.select("vec_id", "sid").join(per, "sid").groupBy("vec_id").agg(F.max("links").alias("links"), F.min("c").alias("c"))
     out = given.select("vec_id").distinct().join(named, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
