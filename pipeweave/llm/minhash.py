@@ -12,10 +12,11 @@ of the runs).
 
 Groups of copies: equal sets become one set, named by the smallest doc_id that has it, before any table
 is built. In a bucket every set is compared with a leader, and where most then hang together with a
-second one, drawn by a hash that differs from bucket to bucket. In buckets of whatever size, sets that are
-still apart are compared if they have one of the rarest items of both in common: of two similar sets these
-prefixes always meet, so no pair of a bucket is lost, and sets that share a passage but little else, of
-which a bucket may hold many, are not paired.
+second one, drawn by a hash that differs from bucket to bucket. In buckets of whatever size, all sets that
+are still apart from them are then compared with the first LEADERS of the bucket, which leaves only pairs of
+two others, if there are any. Those are compared if they have one of the rarest items of both in common: of
+two similar sets these prefixes always meet, so no pair of a bucket is lost, and sets that share a passage
+but little else, of which a bucket may hold many, are not paired. Pairs grow with the rows of the buckets.
 
 Rows: one per distinct doc_id. Null, blank or empty texts: n_shingles 0, own component. Rows without a
 doc_id are left out: nothing could name them. Repeated rows of one doc_id with different texts: the
@@ -39,6 +40,8 @@ from pipeweave.llm.words import Words, columns, mix, ngrams, seeds, signed
 _U = np.uint64
 #: Candidate pairs are broadcast up to this number of rows (16 bytes each); beyond it they are shuffled.
 BROADCAST_PAIRS = 100_000
+#: Sets of each bucket that all others of it are compared with.
+LEADERS = 12
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -184,6 +187,13 @@ def near_duplicates(
         pairs = at.select("key", "sid", F.col("n_shingles").alias("n"), "c").join(lead, "key").where("c <> l.c").withColumn("m", F.col("l.n_shingles")).where(fits)
         return pairs.select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b")).distinct()
 
+    def with_leaders(at: DataFrame) -> DataFrame:
+        """Pairs of each set with the first LEADERS of each of its buckets."""
+        w = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
+        lead = at.select("key", F.col("sid").alias("other"), F.col("n_shingles").alias("m"), F.col("c").alias("co"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= LEADERS)
+        pairs = at.select("key", "sid", F.col("n_shingles").alias("n"), "c").join(lead, "key").where("c <> co").where(fits)
+        return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+
     def by_rarest(at: DataFrame) -> DataFrame:
         """Pairs of sets of different groups that have a bucket and an item of their prefixes in common."""
         own = at.groupBy("sid", "n_shingles", "c").agg(F.collect_list("key").alias("keys"))
@@ -201,7 +211,8 @@ def near_duplicates(
     # Buckets of copies mostly hang together by now; a second leader finds what the first was too far from.
     drawn = placed(links).where("2 * groups <= sets")
     links = links.unionByName(scratch.keep(verify(with_leader(drawn, F.xxhash64("key", "sid"))), "links"))
-    apart = placed(links).where("sets > 2")  # two have been compared
+    links = links.unionByName(scratch.keep(verify(with_leaders(placed(links).where("sets > 2"))), "links"))
+    apart = placed(links).where(f"sets > {LEADERS} + 1")  # of others all pairs have been compared
     links = links.unionByName(scratch.keep(verify(by_rarest(apart)), "links"))
 
     of = first.select("sid", "doc_id")
