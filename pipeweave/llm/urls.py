@@ -3,15 +3,17 @@
 The canonical form of a URL is its host, A-Z lower-cased and without a leading "www.", and its path
 without closing slashes. Every listed canonical URL sets one bit in each of the eight 64-bit words of one
 block of the filter. A URL whose eight bits are all set is a possible hit; only those go to the join with
-the list, which removes the false positives. The filter has at most `most_blocks` blocks of 64 bytes, so
-its broadcast is bounded; a longer list makes more false positives, never a wrong verdict.
+the list, which removes the false positives. The filter has at most `most_blocks` blocks of 64 bytes, 16 MB,
+so its broadcast is bounded; it is as good as empty beyond some eight million listed URLs, when a longer
+list makes more false positives, never a wrong verdict.
 
 Rules on host and path go before the list: a rule fits its host and all subdomains, if the path starts
 with the rule's; the longest wins. They are an operator's own few exceptions (MOST_RULES at most).
 
 Rows: one per input row. Host: after the first "://" up to "/", "?", "#" or the end; path: then up to
 "?", "#" or the end. Null URLs and those without "://" have an empty host and path and match neither a
-rule nor the list. Columns of the input that have the name of a new column are replaced.
+rule nor the list. Columns of the input that have the name of a new column are replaced; all others stay.
+Repeated rows are judged alike. An empty table gives an empty table, an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipeweave.llm.names import fresh
 from pipeweave.llm.storage import Scratch
 
 MOST_RULES = 1000
@@ -69,24 +72,26 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return F.array_max(F.array(*known)) if known else F.lit(None).cast("struct<n:int,rule:string,action:string>")
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], scratch: Scratch, most_blocks: int = 1 << 16) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], scratch: Scratch, most_blocks: int = 1 << 18) -> DataFrame:
     """pages with host, path, rule and verdict (allow or block). listed: url of each URL to block."""
     keys = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("key")).where("key is not null").distinct()
     keys = scratch.keep(keys, "listed")
-    blocks = 1
-    while blocks < most_blocks and blocks * 32 < keys.count():  # 16 bits a key
+    n, blocks = keys.count(), 1
+    while blocks < most_blocks and blocks * 32 < n:  # 16 bits a key
         blocks *= 2
-    words = F.broadcast(bloom(keys, blocks))
+    block, found, key, maybe_, listed_, *own = fresh(pages, "_block", "_rule", "_key", "_maybe", "_listed", *[f"_w{i}" for i in range(8)])
+    words = F.broadcast(bloom(keys, blocks).toDF(block, *own))
 
     others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     known = pages.select(*others, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = known.withColumn("_r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("_key", canonical(F.col("host"), F.col("path")))
-    tried = known.withColumn("block", F.when(F.col("_r").isNull(), _block(F.col("_key"), blocks))).join(words, "block", "left")
+    known = known.withColumn(found, rule_for(F.col("host"), F.col("path"), rules)).withColumn(key, canonical(F.col("host"), F.col("path")))
+    tried = known.withColumn(block, F.when(F.col(found).isNull(), _block(F.col(key), blocks))).join(words, block, "left")
     maybe = F.lit(True)
-    for i, b in enumerate(_bits(F.col("_key"))):
-        maybe = maybe & F.coalesce(F.col(f"w{i}").bitwiseAND(b) != 0, F.lit(False))
-    tried = tried.withColumn("_maybe", maybe)
-    result = [*others, "host", "path", F.col("_r.rule").alias("rule")]
-    clear = tried.where(~F.col("_maybe")).select(*result, F.coalesce("_r.action", F.lit("allow")).alias("verdict"))
-    hits = tried.where(F.col("_maybe")).join(keys.select(F.col("key").alias("_key"), F.lit(True).alias("_listed")), "_key", "left")
-    return clear.unionByName(hits.select(*result, F.when(F.col("_listed"), "block").otherwise("allow").alias("verdict")))
+    for w, b in zip(own, _bits(F.col(key)), strict=True):
+        maybe = maybe & F.coalesce(F.col(w).bitwiseAND(b) != 0, F.lit(False))
+    tried = tried.withColumn(maybe_, maybe)
+    result = [*[F.col(f"`{c}`") for c in others], "host", "path", F.col(found)["rule"].alias("rule")]
+    # Only possible hits go to the join, and so perhaps to a shuffle.
+    clear = tried.where(~F.col(maybe_)).select(*result, F.coalesce(F.col(found)["action"], F.lit("allow")).alias("verdict"))
+    hits = tried.where(F.col(maybe_)).join(keys.select(F.col("key").alias(key), F.lit(True).alias(listed_)), key, "left")
+    return clear.unionByName(hits.select(*result, F.when(F.col(listed_), "block").otherwise("allow").alias("verdict")))
