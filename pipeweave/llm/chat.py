@@ -11,7 +11,7 @@ them out again. The loss mask covers the contents of the trained roles, as range
 
 Rows: one per distinct conv_id, null included. Null texts and roles count as empty. Repeated rows are
 messages of their own. Messages of equal turn are ordered by role, then parts; null turns come first.
-A part of an unknown type gives a file placeholder of no tokens.
+A part of an unknown type gives a file placeholder of no tokens. Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 PARTS = "array<struct<type:string,text:string,ref:string,amount:double>>"
-#: Tokens for each pixel, second and page.
+#: Tokens for each pixel of an image (a token a patch of 28 x 28), second of audio and page of a document; a parameter of format_chat.
 RATES = {"image": 1 / 784, "audio": 25.0, "document": 512.0}
 _CONTROL = r"<(?=\||/?s>)|\[(?=/?INST\])"
 
@@ -43,14 +43,14 @@ def _content(parts: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
-def _tokens(part: Column) -> Column:
+def _tokens(part: Column, rates: dict[str, float]) -> Column:
     out = F.lit(0)
-    for kind, rate in RATES.items():
+    for kind, rate in rates.items():
         out = F.when(part["type"] == kind, F.ceil(F.coalesce(part["amount"], F.lit(0.0)) * rate)).otherwise(out)
     return out.cast("long")
 
 
-def format_chat(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chat(messages: DataFrame, trained: tuple[str, ...] = ("assistant",), rates: dict[str, float] = RATES) -> DataFrame:
     """conv_id, formatted, loss_spans (start, length), attachments (place, type, ref, tokens).
 
     messages: conv_id, turn, role, and parts (PARTS) or text, which is then the only part.
@@ -71,7 +71,7 @@ def format_chat(messages: DataFrame, trained: tuple[str, ...] = ("assistant",))
         ).alias("said"),
         F.transform(
             F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), lambda p: p["type"] != "text"),
-            lambda p, i: F.struct(i.alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")),
+            lambda p, i: F.struct(i.alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p, rates).alias("tokens")),
         ).alias("attachments"),
     )
     # Lengths first, then each content's start: what stands before it.
@@ -119,5 +119,6 @@ def digests(chats: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
         F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
     )

@@ -8,11 +8,14 @@ every slot each source has had its share to less than one block.
 The schedule repeats after Q slots, so one period, a table of Q entries made from the weights alone,
 places any number of blocks: block j takes slot Q * (j div p) + offset[j mod p]. When a source runs
 out, the others go on by their own weights, in a period of their own; so no row is dropped or repeated.
-Only the number of rows of each source, one number a source, reaches the driver.
+Only the number of rows of each source, one number a source, reaches the driver, and the schedule has as
+many entries as there are slots in a period for each time that sources run out: a mix is of sources that
+somebody has given weights, thousands at most, not of every domain of a crawl.
 
 Rows: one per input row. Null sources count as the source ''. Sources without a weight, or of weight 0,
 come with weight 1 after all others have run out. Repeated rows get places of their own. An empty
-table gives an empty table. Columns of the input that have the name of a new column are replaced.
+table gives an empty table. Columns of the input that have the name of a new column are replaced; all others stay.
+Texts are not looked at, only carried. Rows of equal doc_id, null included, are ordered by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipeweave.llm.names import fresh
 from pipeweave.llm.storage import Scratch
 
 NEW = ("mix_block", "mix_slot", "mix_place")
@@ -110,18 +114,19 @@ def mix_sources(
     docs = docs.drop(*NEW)
     source = F.coalesce("source", F.lit(""))
     drawn = F.xxhash64(F.lit(seed), "doc_id")
-    keyed = docs.withColumns({"_s": source, "_h": drawn, "_salt": F.pmod(drawn, F.lit(salts)), "_tie": F.xxhash64(*docs.columns)})
-    counts = scratch.keep(keyed.groupBy("_s", "_salt").agg(F.count(F.lit(1)).alias("n")), "counts")
-    before = Window.partitionBy("_s").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_s", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    rows = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("n").alias("n")).collect()}  # one row a source
+    s, h, salt, tie, at, start = fresh(docs, "_s", "_h", "_salt", "_tie", "_r", "_first")
+    keyed = docs.withColumns({s: source, h: drawn, salt: F.pmod(drawn, F.lit(salts)), tie: F.xxhash64(*[f"`{c}`" for c in docs.columns])})
+    counts = scratch.keep(keyed.groupBy(s, salt).agg(F.count(F.lit(1)).alias("n")), "counts")
+    before = Window.partitionBy(s).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(s, salt, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    rows = {r[s]: r["n"] for r in counts.groupBy(s).agg(F.sum("n").alias("n")).collect()}  # one row a source
     parts = weights if weights is not None else tempered(rows, slots, power)
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, parts)
 
-    own = F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", "doc_id", "_tie"))
-    ranked = keyed.withColumn("_r", own - 1).join(first, ["_s", "_salt"]).withColumn("_r", F.col("_r") + F.col("_first"))
-    out = ranked.withColumn("mix_block", F.floor(F.col("_r") / block_rows)).withColumn("mix_slot", _slot(F.col("mix_block"), plan, F.col("_s")))
-    return out.withColumn("mix_place", F.col("mix_slot") * block_rows + F.col("_r") % block_rows).select(*docs.columns, *NEW)
+    own = F.row_number().over(Window.partitionBy(s, salt).orderBy(h, "doc_id", tie))
+    ranked = keyed.withColumn(at, own - 1).join(first, [s, salt]).withColumn(at, F.col(at) + F.col(start))
+    out = ranked.withColumn("mix_block", F.floor(F.col(at) / block_rows)).withColumn("mix_slot", _slot(F.col("mix_block"), plan, F.col(s)))
+    return out.withColumn("mix_place", F.col("mix_slot") * block_rows + F.col(at) % block_rows).select(*[f"`{c}`" for c in docs.columns], *NEW)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

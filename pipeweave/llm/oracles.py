@@ -56,7 +56,7 @@ OP7 = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coales
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
   per AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(23 + {_escaped('role')} + {_escaped('text')}) AS chars FROM said GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM per"""
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens FROM per"""
 
 OP8 = f"""WITH split_ AS (SELECT doc_id, {_WORDS} AS w FROM documents),
   starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM split_ WHERE len(w) >= 50),

@@ -11,7 +11,7 @@ from pipeweave.llm.html import extract
 from pipeweave.llm.minhash import near_duplicates
 from pipeweave.llm.mixing import NEW, mix_sources
 from pipeweave.llm.pieces import encode, vocabulary_path
-from pipeweave.llm.quality import FEATURES, judge
+from pipeweave.llm.quality import FEATURES, MORE_FEATURES, judge
 from pipeweave.llm.storage import Scratch
 from pipeweave.llm.substrings import substring_dedup
 from pipeweave.llm.urls import judge_urls
@@ -20,6 +20,9 @@ from pipeweave.llm.wordlm import score_words
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
+#: Target weights by source, in parts.
+WEIGHTS = {f"src{i}": (6 if i % 2 == 0 else 3) + (2 if i < 10 else 0) for i in range(20)}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,8 +34,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice as much of the even sources as of the odd ones, and more of the first ten; others come last."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_sources(docs, Scratch(spark, "op2")).select("doc_id", "source", *NEW)
+    return mix_sources(docs, Scratch(spark, "op2"), weights=WEIGHTS).select("doc_id", "source", *NEW)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return digests(format_chat(rows)).drop("attachment_tokens")
+    return digests(format_chat(rows))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs, Scratch(spark, "op10")).select("doc_id", *FEATURES, "base_failed", "kept", "p_good")
+    return judge(docs, Scratch(spark, "op10")).select("doc_id", *FEATURES, "base_failed", "kept", "p_good", *MORE_FEATURES)
 
 
 def queries() -> dict:

@@ -15,8 +15,10 @@ of n copies costs n rows, and each join on anchors has one row a key on one side
 
 Anchors, spans and windows are compared by hash; a window must agree in two of 64 bits.
 
-Rows: one per input row. Null, blank or empty texts and rows without doc_id have nothing to remove.
-Rows with the same doc_id do not count as earlier or later than each other.
+Rows: one per input row, with its columns; those that have the name of a new column are replaced. Null,
+blank or empty texts and rows without doc_id have nothing to remove. Rows with the same doc_id do not count
+as earlier or later than each other; equal rows lose the same. An empty table gives an empty table. Long
+texts are hashed in slices; a text's windows are held together, some 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipeweave.llm.names import fresh
 from pipeweave.llm.storage import Scratch
 from pipeweave.llm.words import Ranges, Words, columns, ngrams, signed
 
@@ -121,13 +124,13 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(length: int, digest: bool):
+def _cut(length: int, digest: bool, spans_: str):
     """n_words, n_removed, removed ranges of words; the kept text as it stands or only its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(*columns(batch, "text"))
-            spans = batch.column(batch.schema.get_field_index("spans"))
+            spans = batch.column(batch.schema.get_field_index(spans_))
             texts = batch.column(batch.schema.get_field_index("text"))
             found: list[list] = [[], [], [], []]
             for row, (f, t) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
@@ -149,7 +152,7 @@ def _cut(length: int, digest: bool):
                     kept.append(x)
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             new = [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], kind), pa.array(found[3], pa.string())]
-            others = [x for x in batch.schema.names if x not in ("text", "spans", "text_id")]
+            others = [x for x in batch.schema.names if x not in ("text", spans_)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(batch.schema.get_field_index(x)) for x in others], *new],
                 [*others, "n_words", "n_removed", "removed", "kept_sha256" if digest else "text"],
@@ -197,17 +200,19 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, length: int = 50, seed: i
     """
     if not 1 <= seed <= length:
         raise ValueError("seed must be from 1 to length")
-    others = [x for x in docs.columns if x not in ("text", "n_words", "n_removed", "removed", "kept_sha256", "text_id", "spans")]
-    named = docs.select(*others, "text", F.xxhash64("text").alias("text_id"))
-    known = named.where("doc_id is not null and text is not null").select("doc_id", "text_id", "text")
-    found = scratch.keep(repeats(known, scratch, length, seed), "found")
+    others = [x for x in docs.columns if x not in ("text", "n_words", "n_removed", "removed", "kept_sha256")]
+    id_, spans = fresh(docs, "text_id", "spans")
+    keys = ["doc_id", id_]
+    named = docs.select(*[f"`{x}`" for x in others], "text").withColumn(id_, F.xxhash64("text"))
+    known = named.where("doc_id is not null and text is not null").select("doc_id", F.col(id_).alias("text_id"), "text")
+    found = scratch.keep(repeats(known, scratch, length, seed), "found").withColumnsRenamed({"text_id": id_, "spans": spans})
     if found.count() <= BROADCAST_IDS:
-        ids = F.broadcast(found.select(_KEYS))
-        whole = named.join(ids, _KEYS, "left_anti").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
-        out = whole.unionByName(named.join(ids, _KEYS, "left_semi").join(found, _KEYS, "left").select(whole.columns))
+        ids = F.broadcast(found.select(keys))
+        whole = named.join(ids, keys, "left_anti").withColumn(spans, F.lit(None).cast(found.schema[spans].dataType))
+        out = whole.unionByName(named.join(ids, keys, "left_semi").join(found, keys, "left").select(*[f"`{x}`" for x in whole.columns]))
     else:
-        out = named.join(found, _KEYS, "left")
-    out = out.select(*others, "text", "spans")
+        out = named.join(found, keys, "left")
+    out = out.select(*[f"`{x}`" for x in others], "text", spans)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others)
     new = f"n_words long, n_removed long, removed array<struct<first:int,end:int>>, {'kept_sha256' if digest else 'text'} string"
-    return out.mapInArrow(_cut(length, digest), f"{schema}, {new}")
+    return out.mapInArrow(_cut(length, digest, spans), f"{schema}, {new}")

@@ -196,8 +196,9 @@ def test_vectors_of_repeated_ids(spark, scratch):
 # 4
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_against_brute_force(spark, scratch, k):
+@pytest.mark.parametrize("k, leaders", [(2, 12), (5, 12), (2, 1)])
+def test_near_duplicates_against_brute_force(spark, scratch, monkeypatch, k, leaders):
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
     texts = corpus(k)
     sets = [shingles(t, k) for t in texts]
     links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 80 * len(a | b)]
@@ -479,7 +480,9 @@ def test_extraction_of_the_table(spark):
 # 10
 
 
-def test_features_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [24, 3])
+def test_features_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
     texts = [*corpus(10), "a b c a b c", "a a a a", "a a a", "x\nx\n\nx\n y", "# $\n# $"]
     got = {r.doc_id: r for r in quality.features(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
