@@ -22,10 +22,34 @@ def boxed(segments: DataFrame, s: tuple[str, ...] = S) -> DataFrame:
     return segments.withColumns({"_x0": F.least(ax, ex), "_y0": F.least(ay, ey), "_x1": F.greatest(ax, ex), "_y1": F.greatest(ay, ey)})
 
 
+#: What every comparison of a segment needs, computed once a segment and not once a pair.
+_DIRECTION = {"_dx": F.expr("ex - ax"), "_dy": F.expr("ey - ay"), "_sq": F.expr("nullif((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay), 0.0)")}
+
+
+def _box_distance() -> str:
+    """0 where a segment meets a box, else the least distance of its ends to the box and of the box's corners to it.
+
+    They meet if they overlap on both axes and across the segment. Kept short: generated code that is split
+    into methods does not compile within a join.
+    """
+
+    def corner(x: str, y: str) -> str:
+        t = f"coalesce(least(1.0, greatest(0.0, (({x} - ax) * _dx + ({y} - ay) * _dy) / _sq)), 0.0)"
+        return f"pow({x} - (ax + {t} * _dx), 2) + pow({y} - (ay + {t} * _dy), 2)"
+
+    end = lambda x, y: f"pow(greatest(x0 - {x}, 0.0, {x} - x1), 2) + pow(greatest(y0 - {y}, 0.0, {y} - y1), 2)"
+    across = "abs((x0 + x1 - 2 * ax) * _dy - (y0 + y1 - 2 * ay) * _dx) <= (x1 - x0) * abs(_dy) + (y1 - y0) * abs(_dx)"
+    meet = f"_x0 <= x1 AND _x1 >= x0 AND _y0 <= y1 AND _y1 >= y0 AND {across}"
+    return f"CASE WHEN {meet} THEN 0.0 ELSE sqrt(least({end('ax', 'ay')}, {end('ex', 'ey')}, {', '.join(corner(x, y) for x in ('x0', 'x1') for y in ('y0', 'y1'))})) END"
+
+
+_BOX_DISTANCE = _box_distance()
+
+
 def candidates(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame) -> DataFrame:
     """Pairs of a segment and an obstacle box within REACH, with distance_m, the type's rule, required_m and the excess of the distance over it."""
-    pairs = near_join(boxed(segments), obstacles, ("_x0", "_y0", "_x1", "_y1"), B, REACH, CELL).drop("_x0", "_y0", "_x1", "_y1")
-    pairs = pairs.withColumn("distance_m", F.expr(geo.segment_box(S, B))).where(F.col("distance_m") <= REACH)
+    pairs = near_join(boxed(segments).withColumns(_DIRECTION), obstacles, ("_x0", "_y0", "_x1", "_y1"), B, REACH, CELL)
+    pairs = pairs.withColumn("distance_m", F.expr(_BOX_DISTANCE)).where(F.col("distance_m") <= REACH).drop("_x0", "_y0", "_x1", "_y1", *_DIRECTION)
     known = pairs.join(F.broadcast(rule_rows), "type", "left")  # one row a type
     return known.withColumn("required_m", F.expr(rules.axis_clearance("type", "dn", "clearance", "width", "obstacle_width")))
 
