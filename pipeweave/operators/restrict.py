@@ -23,7 +23,7 @@ def boxed(segments: DataFrame, s: tuple[str, ...] = S) -> DataFrame:
 
 
 #: What every comparison of a segment needs, computed once a segment and not once a pair.
-_DIRECTION = {"_dx": F.expr("ex - ax"), "_dy": F.expr("ey - ay"), "_sq": F.expr("nullif((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay), 0.0)")}
+_DIRECTION = {"_dx": "ex - ax", "_dy": "ey - ay", "_sq": "nullif((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay), 0.0)"}
 
 
 def _box_distance() -> str:
@@ -48,7 +48,7 @@ _BOX_DISTANCE = _box_distance()
 
 def candidates(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame) -> DataFrame:
     """Pairs of a segment and an obstacle box within REACH, with distance_m, the type's rule, required_m and the excess of the distance over it."""
-    pairs = near_join(boxed(segments).withColumns(_DIRECTION), obstacles, ("_x0", "_y0", "_x1", "_y1"), B, REACH, CELL)
+    pairs = near_join(boxed(segments).withColumns({k: F.expr(v) for k, v in _DIRECTION.items()}), obstacles, ("_x0", "_y0", "_x1", "_y1"), B, REACH, CELL)
     pairs = pairs.withColumn("distance_m", F.expr(_BOX_DISTANCE)).where(F.col("distance_m") <= REACH).drop("_x0", "_y0", "_x1", "_y1", *_DIRECTION)
     known = pairs.join(F.broadcast(rule_rows), "type", "left")  # one row a type
     return known.withColumn("required_m", F.expr(rules.axis_clearance("type", "dn", "clearance", "width", "obstacle_width")))
