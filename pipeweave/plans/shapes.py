@@ -86,7 +86,7 @@ def own_object_exemptions(spark, sf_dir):
 
 
 @query(
-    f"WITH {_MEASURED} SELECT m.seg_id, m.ordinal, count(*) AS cuts, round(min(u * len), 5) AS first_m, round(max(u * len), 5) AS last_m, round(min(degrees(acos(least(1.0, abs((ex - ax) * (dx - cx) + (ey - ay) * (dy - cy)) / (len * sqrt((dx - cx) ** 2 + (dy - cy) ** 2)))))), 4) AS angle "
+    f"WITH {_MEASURED} SELECT m.seg_id, m.ordinal, count(DISTINCT round(u * len, 6)) AS cuts, round(min(u * len), 5) AS first_m, round(max(u * len), 5) AS last_m, round(min(degrees(acos(least(1.0, abs((ex - ax) * (dx - cx) + (ey - ay) * (dy - cy)) / (len * sqrt((dx - cx) ** 2 + (dy - cy) ** 2)))))), 4) AS angle "
     f"FROM met m JOIN {rule_sql()} r ON r.type = m.type WHERE r.special AND NOT polygonal AND u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 GROUP BY m.seg_id, m.ordinal",
     "g_way", "g_part_edge",
 )
