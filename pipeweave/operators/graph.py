@@ -49,11 +49,15 @@ def _clear(p: np.ndarray, q: np.ndarray, boxes: np.ndarray) -> bool:
     return not (enter < leave - 1e-12).any()
 
 
+class Inconclusive(Exception):
+    """A search has used up its states without an answer."""
+
+
 def astar(target: np.ndarray, ties: np.ndarray, boxes: np.ndarray, most: int = 40_000) -> tuple[list[int], np.ndarray] | None:
     """The shortest way from one of the ties to the target around the boxes, turning by 90 degrees at most.
 
     Nodes are the ties, the boxes' corners and the target; a state is the node before and the node. The
-    straight distance to the target guides the search. None if there is no way, or none within `most` states.
+    straight distance to the target guides the search. None if there is no way; Inconclusive after `most` states.
     """
     corners = boxes[:, [[0, 1], [0, 3], [2, 1], [2, 3]]].reshape(-1, 2) if len(boxes) else np.zeros((0, 2))
     at = np.concatenate((ties, corners, target[None]))
@@ -90,7 +94,7 @@ def astar(target: np.ndarray, ties: np.ndarray, boxes: np.ndarray, most: int = 4
                 best[i, j], back[i, j] = new, (before, i)
                 count += 1
                 heapq.heappush(queue, (new + ahead[j], count, i, j))
-    return None
+    raise Inconclusive
 
 
 def routes(scenes: DataFrame) -> DataFrame:
@@ -101,9 +105,12 @@ def routes(scenes: DataFrame) -> DataFrame:
         target = rows[["x", "y"]].iloc[0].to_numpy(dtype=float)
         ties = rows.loc[rows["kind"] == "tie", ["x0", "y0"]].to_numpy(dtype=float)
         boxes = rows.loc[rows["kind"] == "box", ["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
-        found = astar(target, ties, boxes) if len(ties) else None
+        try:
+            found, status = (astar(target, ties, boxes) if len(ties) else None), "NO_ROUTE_FOUND"
+        except Inconclusive:
+            found, status = None, "SEARCH_INCONCLUSIVE"
         if found is None:
-            return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": ["NO_ROUTE_FOUND"], "length_m": [None], "vertices": [0]})
+            return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [None], "vertices": [0]})
         way, at = found
         length = float(np.sqrt((np.diff(at[way], axis=0) ** 2).sum(axis=1)).sum())
         return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": ["ROUTED"], "length_m": [length], "vertices": [len(way)]})

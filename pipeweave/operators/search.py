@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipeweave.operators.graph import Inconclusive
+
 from pipeweave.operators.cells import near_join
 from pipeweave.operators.restrict import B
 
@@ -57,7 +59,7 @@ def flood(free: np.ndarray) -> np.ndarray:
 def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000) -> list[tuple[int, int]] | None:
     """The shortest way from the middle to a goal cell, turning by 90 degrees at most and cutting no corner; None if there is none.
 
-    Among equal ways the one whose states were queued first wins. At most `most` states are taken.
+    Among equal ways the one whose states were queued first wins. Inconclusive after `most` states.
     """
     n = free.shape[0] // 2
     queue: list[tuple[float, int, int, int, int]] = [(0.0, 0, n, n, -1)]
@@ -84,6 +86,8 @@ def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000) -> list[tuple
                 best[u, v, k] = new
                 back[u, v, k] = (i, j, way)
                 heapq.heappush(queue, (new, len(best), u, v, k))
+    if queue:
+        raise Inconclusive
     return None
 
 
@@ -99,19 +103,24 @@ def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 2.0) -> Dat
 
 
 def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
-    """target, length_m, steps of the grid way to the tie (target, tx, ty); null length if there is none."""
+    """target, status, length_m, steps of the grid way to the tie (target, tx, ty) of every target: FOUND, NO_WAY or INCONCLUSIVE."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         free = _free(rows, reach, cell)
         goals = np.zeros_like(free)
-        i, j = (int(np.floor((rows[t].iloc[0] - rows[c].iloc[0] + reach) / cell)) for t, c in (("tx", "x"), ("ty", "y")))
+        near = rows[["tx", "ty"]].iloc[0].notna().all()
+        i, j = (int(np.floor((rows[t].iloc[0] - rows[c].iloc[0] + reach) / cell)) if near else -1 for t, c in (("tx", "x"), ("ty", "y")))
         if 0 <= i < len(free) and 0 <= j < len(free):
             goals[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2] = True
-        way = walk(free, goals & free)
+        try:
+            way, status = walk(free, goals & free), "NO_WAY"
+        except Inconclusive:
+            way, status = None, "INCONCLUSIVE"
+        status = status if way is None else "FOUND"
         length = None if way is None else sum(float(np.hypot(a - c, b - d)) for (a, b), (c, d) in zip(way, way[1:], strict=False)) * cell
-        return pd.DataFrame({"target": [rows["target"].iloc[0]], "length_m": [length], "steps": [0 if way is None else len(way) - 1]})
+        return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [length], "steps": [0 if way is None else len(way) - 1]})
 
-    return scenes.join(ties.select("target", "tx", "ty"), "target").groupBy("target").applyInPandas(run, "target long, length_m double, steps long")
+    return scenes.join(ties.select("target", "tx", "ty"), "target", "left").groupBy("target").applyInPandas(run, "target long, status string, length_m double, steps long")
 
 
 def turns_ok(points: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pipeweave.functions import geo
 from pipeweave.operators.cells import near_join
 from pipeweave.operators.restrict import S, boxed
+from pipeweave.storage import Scratch
 
 P = ("x", "y")
 
@@ -55,24 +56,25 @@ def nearest_k(pairs: DataFrame, key: str, k: int, *order: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(points: DataFrame, k: int, cell: float, rings: int = 64) -> DataFrame:
-    """ordinal, neighbour, rank: the exact k nearest others, ties by ordinal.
+def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
+    """ordinal, neighbour, distance_m, rank: the exact k nearest others, ties by ordinal; all others where there are fewer.
 
     Rings of cells grow until no unfinished point is left: a point is finished when its k-th neighbour is
     nearer than the cells not yet looked at. Only unfinished points go on to the next ring.
     """
     at = points.select("ordinal", "x", "y")
     others = at.select(F.col("ordinal").alias("neighbour"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    todo, done, radius = at, None, cell
-    for _ in range(rings):
+    scratch, todo, done, radius = Scratch(points.sparkSession, "knn"), at, None, cell
+    k = min(k, max(at.count() - 1, 0))
+    while True:
         found = within(todo, others, radius, cell=max(cell, radius)).where("ordinal <> neighbour")
-        ranked = nearest_k(found, "ordinal", k, "distance_m", "neighbour").select("ordinal", "neighbour", "distance_m", "rank").persist()
+        ranked = nearest_k(found, "ordinal", k, "distance_m", "neighbour").select("ordinal", "neighbour", "distance_m", "rank")
+        ranked = scratch.keep(ranked, "ranked")
         full = ranked.groupBy("ordinal").agg(F.max("rank").alias("n")).where(F.col("n") >= k).select("ordinal")
         part = ranked.join(full, "ordinal", "left_semi")
         done = part if done is None else done.unionByName(part)
-        todo = todo.join(full, "ordinal", "left_anti").persist()
-        n = todo.count()
-        if n == 0 or radius > 1e6:
+        todo = scratch.keep(todo.join(full, "ordinal", "left_anti"), "todo")
+        if k == 0 or todo.isEmpty():
             break
         radius *= 2
     return done

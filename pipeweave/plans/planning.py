@@ -320,8 +320,19 @@ def ring_sides(spark, sf_dir):
     return sides.groupBy("ordinal").agg(F.round(F.sum(F.expr("sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2))")), 6).alias("perimeter_m"), F.count(F.lit(1)).cast("int").alias("sides"))
 
 
+@query(
+    rec(f"{_UP} SELECT p.node, round(sum(q.length_m), 6) AS length_m, sum(q.length_m) > 1.5 * p.length_m + 30 AS heavy FROM g_pipe p JOIN up ON up.node = p.node JOIN g_pipe q ON q.node = up.above WHERE p.flow > 0 GROUP BY p.node, p.length_m", "g_pipe"),
+)
+def heavy_detour(spark, sf_dir):
+    """Consumers whose way to the root is a detour against the pipe that ends at them."""
+    pipes = _pipes(spark, sf_dir)
+    way = plan.tree_paths(pipes).join(pipes.select(F.col("node").alias("above"), "length_m"), "above").groupBy("node").agg(F.sum("length_m").alias("length_m"))
+    own = pipes.where("flow > 0").select("node", F.col("length_m").alias("_own"))
+    return way.join(own, "node").select("node", F.round("length_m", 6).alias("length_m"), (F.col("length_m") > 1.5 * F.col("_own") + 30).alias("heavy"))
+
+
 NEW = (
-    "edge_consumers", "equal_consumer_components", "same_dn_from_root", "sized_tree", "plan_nodes", "stranded_removal", "plan_status", "plan_choice", "node_on_line", "target_diameters", "problem_histogram",
+    "edge_consumers", "equal_consumer_components", "same_dn_from_root", "sized_tree", "plan_nodes", "stranded_removal", "plan_status", "plan_choice", "heavy_detour", "node_on_line", "target_diameters", "problem_histogram",
     "findings_report", "wider_search_targets", "reattach_candidates", "target_selection", "segment_guards", "touching_obstacles", "variant_likeness", "depth_cut_sections", "validate_depth", "validate_chamber_dn",
     "plan_admissible", "safe_ids", "result_headers", "crs_names", "export_documents", "explain_chambers", "ring_sides",
 )

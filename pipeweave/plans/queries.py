@@ -211,7 +211,7 @@ def crosses_both_sides(spark, sf_dir):
     "SELECT a.seg_id, a.ordinal AS a, b.ordinal AS b, round(abs(a.at_m - b.at_m), 6) AS apart_m, abs(a.at_m - b.at_m) < a.reach + b.reach AS conflict FROM zones a JOIN zones b ON a.seg_id = b.seg_id AND a.ordinal < b.ordinal",
     "g_segment", "g_utility",
 )
-def residual_clearance(spark, sf_dir):
+def passage_conflicts(spark, sf_dir):
     """Passages of one segment, and whether their zones run into each other."""
     reach = F.expr("greatest(margin, required_m / greatest(sin(radians(angle)), 0.05) + 1e-6)")
     a = _hits(spark, sf_dir).select("seg_id", F.col("ordinal").alias("a"), F.col("at_m").alias("at_a"), reach.alias("reach_a"))
@@ -642,12 +642,6 @@ def validate_crossings(spark, sf_dir):
     return network.intersections(scene(spark, sf_dir, "g_line")).where("s > 1e-4 AND s < 1 - 1e-4 AND t > 1e-4 AND t < 1 - 1e-4").selectExpr("a.ordinal AS ordinal", "a.seq AS seq", "b.ordinal AS o2", "b.seq AS s2")
 
 
-@query(f"WITH {_NEAR} SELECT target AS target, CASE WHEN min(distance_m) > 1.5 * 50 + 30 THEN TRUE ELSE FALSE END AS heavy FROM near GROUP BY target", "g_target", "g_line")
-def heavy_detour(spark, sf_dir):
-    """Whether the nearest line makes a 50 m route a heavy detour."""
-    return _near_lines(spark, sf_dir).groupBy("target").agg((F.min("distance_m") > 1.5 * 50 + 30).alias("heavy"))
-
-
 # Searches and dynamic programming: no SQL; tests hold them against small scenes and brute force
 
 
@@ -689,10 +683,10 @@ def depth_profile(spark, sf_dir):
 @query(None)
 def stream_requests_once(spark, sf_dir):
     """The first of equal requests of each hour, as a stream."""
-    from pipeweave.streaming.requests import drained, once_per_hour
+    from pipeweave.streaming.requests import landed, once_per_hour
 
     rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
-    return drained(once_per_hour(rows), "pw_once").select("event_id", "user_id", "event_type")
+    return landed(once_per_hour(rows), "once").select("event_id", "user_id", "event_type")
 
 
 # Groups, routes and exports
@@ -760,7 +754,7 @@ def export_chains(spark, sf_dir):
     return chains(scene(spark, sf_dir, "g_line").selectExpr("ordinal AS path", "seq AS i", "dn", *S)).select("path", "dn", F.size("xs").cast("bigint").alias("vertices"), F.round("length_m", 6).alias("length_m"))
 
 
-@query("SELECT ordinal, 'ok' AS state, length_m FROM (SELECT ordinal, CAST(count(*) + 1 AS BIGINT) AS length_m FROM g_line GROUP BY ordinal) q", "g_line")
+@query("SELECT ordinal, 'ok' AS state, vertices FROM (SELECT ordinal, CAST(count(*) + 1 AS BIGINT) AS vertices FROM g_line GROUP BY ordinal) q", "g_line")
 def export_wkb(spark, sf_dir):
     """Lines as WKB; the number of vertices is read back from the bytes."""
     from pipeweave.sources.features import chains, wkb_line
@@ -768,7 +762,7 @@ def export_wkb(spark, sf_dir):
     rows = chains(scene(spark, sf_dir, "g_line").selectExpr("ordinal AS path", "seq AS i", "dn", *S)).withColumn("wkb", wkb_line("xs", "ys"))
     count = F.conv(F.hex(F.substring("wkb", 6, 4)), 16, 10).cast("bigint")
     right = F.length("wkb") == 9 + 16 * count
-    return rows.select(F.col("path").alias("ordinal"), F.when(right, "ok").otherwise("broken").alias("state"), count.alias("length_m"))
+    return rows.select(F.col("path").alias("ordinal"), F.when(right, "ok").otherwise("broken").alias("state"), count.alias("vertices"))
 
 
 @query(

@@ -102,4 +102,11 @@ def part_status(spark, sf_dir):
     return polygons.decide(scene(spark, sf_dir, "g_way"), polygons.parts(scene(spark, sf_dir, "g_part_edge")), rules.rule_table(spark))
 
 
-NEW = ("part_distance", "part_inside", "own_object_exemptions", "line_events", "part_status")
+@query(None)
+def residual_clearance(spark, sf_dir):
+    """Special parts that a segment comes too near to beside its passages."""
+    pairs = polygons.exempted(_pairs(spark, sf_dir))
+    return polygons.residual(pairs, polygons.events(pairs).where("reason IS NULL"))
+
+
+NEW = ("part_distance", "part_inside", "own_object_exemptions", "line_events", "part_status", "residual_clearance")

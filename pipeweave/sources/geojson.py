@@ -32,7 +32,25 @@ def _members(pairs: list) -> dict:
 
 
 def _decode(text: str):
-    return json.loads(text, parse_int=_number, parse_float=_number, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)), object_pairs_hook=_members)
+    try:
+        value = json.loads(text, parse_int=_number, parse_float=_number, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)), object_pairs_hook=_members)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    _guard(value)
+    return value
+
+
+def _guard(value) -> None:
+    """Objects and arrays are not nested too deep, and strings not too long."""
+    todo = [(value, 1)]
+    while todo:
+        x, depth = todo.pop()
+        if isinstance(x, str) and len(x.encode("utf-8", "surrogatepass")) > LIMITS["string"]:
+            raise ValueError("string too long")
+        if isinstance(x, (dict, list)):
+            if depth > LIMITS["depth"]:
+                raise ValueError("too deep")
+            todo += [(y, depth + 1) for y in (x.values() if isinstance(x, dict) else x)]
 
 
 def _canonical(value) -> tuple[str | None, str | None]:
@@ -86,15 +104,15 @@ def decode(lines: DataFrame) -> DataFrame:
 
 
 def _sound(points: str) -> str:
-    return f"forall({points}, p -> size(p) BETWEEN 2 AND 3 AND p[0] BETWEEN -180 AND 180 AND p[1] BETWEEN -90 AND 90 AND forall(p, v -> v IS NOT NULL AND NOT isnan(v)))"
+    return f"size({points}) > 0 AND forall({points}, p -> size(p) BETWEEN 2 AND 3 AND p[0] BETWEEN -180 AND 180 AND p[1] BETWEEN -90 AND 90 AND forall(p, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')))"
 
 
 _RING = "size(r) >= 4 AND r[0] = element_at(r, -1) AND " + _sound("r")
 _GEOMETRY_OK = f"""CASE geometry WHEN 'Point' THEN {_sound("array(from_json(coordinates, 'array<double>'))")}
     WHEN 'LineString' THEN size(from_json(coordinates, 'array<array<double>>')) >= 2 AND {_sound("from_json(coordinates, 'array<array<double>>')")}
-    WHEN 'MultiLineString' THEN forall(from_json(coordinates, 'array<array<array<double>>>'), r -> size(r) >= 2 AND {_sound("r")})
-    WHEN 'Polygon' THEN forall(from_json(coordinates, 'array<array<array<double>>>'), r -> {_RING})
-    WHEN 'MultiPolygon' THEN forall(from_json(coordinates, 'array<array<array<array<double>>>>'), g -> forall(g, r -> {_RING})) ELSE FALSE END"""
+    WHEN 'MultiLineString' THEN size(from_json(coordinates, 'array<array<array<double>>>')) > 0 AND forall(from_json(coordinates, 'array<array<array<double>>>'), r -> size(r) >= 2 AND {_sound("r")})
+    WHEN 'Polygon' THEN size(from_json(coordinates, 'array<array<array<double>>>')) > 0 AND forall(from_json(coordinates, 'array<array<array<double>>>'), r -> {_RING})
+    WHEN 'MultiPolygon' THEN size(from_json(coordinates, 'array<array<array<array<double>>>>')) > 0 AND forall(from_json(coordinates, 'array<array<array<array<double>>>>'), g -> size(g) > 0 AND forall(g, r -> {_RING})) ELSE FALSE END"""
 # Which geometry each object type takes.
 _SHAPE_OK = """CASE WHEN object_type IN ('source', 'heat_chamber', 'oks_connection_point') THEN geometry = 'Point' WHEN object_type = 'heat_network' THEN geometry = 'LineString'
     WHEN object_type = 'restriction' THEN geometry IN ('LineString', 'MultiLineString', 'Polygon', 'MultiPolygon') ELSE FALSE END"""

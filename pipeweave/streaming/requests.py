@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeweave.sources.geojson import decode, validate
+from pipeweave.storage import Scratch
 
 
 def once_per_hour(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -32,3 +33,11 @@ def drained(stream: DataFrame, table: str, mode: str = "append", checkpoint: str
     writer = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True)
     (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     return spark.table(table)
+
+
+def landed(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that is there, into Parquet files in the shared folder, and returns those. Rows do not pass the driver."""
+    folder = f"{Scratch(stream.sparkSession, name).root}"
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

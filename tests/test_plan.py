@@ -38,3 +38,40 @@ def test_likeness_and_choice(spark):
     assert {r.area: r.plan for r in plan.best_plan(plans, "area").collect()} == {"x": 3, "y": 4}
     cut = plan.cut_at_knots(spark.createDataFrame([("e", 0.0, 10.0, 1.5)], "e string, from_m double, to_m double, coefficient double"), spark.createDataFrame([("e", 0.0, 2.0), ("e", 4.0, 3.0), ("e", 10.0, 3.0)], "e string, at_m double, depth_m double"), "e")
     assert sorted((r.from_m, r.to_m, r.depth_m) for r in cut.collect()) == [(0.0, 4.0, 2.5), (4.0, 10.0, 3.0)] and cut.agg(F.sum("coefficient")).first()[0] == 3.0
+
+
+def test_fewer_points_than_neighbours(spark):
+    from pipeweave.operators import ties
+
+    rows = spark.createDataFrame([(i, float(10**i), 0.0) for i in range(5)], "ordinal long, x double, y double")
+    got = ties.knn(rows, 6, 20.0).collect()
+    assert len(got) == 20 and {r.ordinal: r.neighbour for r in got if r["rank"] == 1} == {0: 1, 1: 0, 2: 1, 3: 2, 4: 3}
+    assert ties.knn(rows.limit(1), 3, 20.0).count() == 0
+
+
+def test_limits_of_documents():
+    import pytest
+
+    from pipeweave.sources import geojson
+
+    assert geojson._decode("[" * 64 + "]" * 64)
+    for bad in ("[" * 65 + "]" * 65, '"' + "x" * ((1 << 20) + 1) + '"', "[" * 100_000):
+        with pytest.raises(ValueError):
+            geojson._decode(bad)
+
+
+def test_exhausted_searches_are_not_no_way():
+    import numpy as np
+    import pytest
+
+    from pipeweave.operators import graph, search
+
+    free = np.ones((41, 41), dtype=bool)
+    goals = np.zeros_like(free)
+    goals[0, 0] = True
+    assert search.walk(free, goals)
+    with pytest.raises(graph.Inconclusive):
+        search.walk(free, goals, most=50)
+    assert search.walk(free, np.zeros_like(free), most=10**6) is None
+    with pytest.raises(graph.Inconclusive):
+        graph.astar(np.array([100.0, 0.0]), np.array([[0.0, 0.0]]), np.array([[10.0, -50.0, 20.0, 50.0]]), most=1)
