@@ -125,6 +125,21 @@ def test_viterbi_against_brute_force():
         assert abs(scores[ids].sum() - sum(best("▁" + w) for w in text.split())) < 1e-9
 
 
+def test_lattice_in_spark_against_brute_force(spark):
+    r = random.Random(8)
+    texts = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "cab"]
+    scores = np.array([0.0] + [-r.random() * 5 - 0.1 for _ in texts[1:]])
+    t = pieces.Pieces(texts, scores, np.array([False] + [True] * 10), np.full(256, -1, dtype=np.int32), 0)
+    words = ["▁" + "".join(r.choices("abc", k=r.randint(1, 9))) for _ in range(60)] + ["▁", "a", "xab", None, ""]
+    rows = pieces.piece_rows(spark, t)
+    got = {x.word: x.pieces for x in pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), rows, t.longest, t.unknown).collect()}
+    assert set(got) == {w for w in words if w} and got["xab"][0] == 0
+    for w, ids in got.items():
+        if "x" not in w:
+            want, _ = pieces.encode_texts([w.removeprefix("▁")], t, "viterbi") if w.startswith("▁") and len(w) > 1 else (ids, 0)
+            assert list(want) == ids and "".join(texts[i] for i in ids) == w
+
+
 # 2
 
 
