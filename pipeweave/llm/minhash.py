@@ -41,7 +41,7 @@ _U = np.uint64
 #: Candidate pairs are broadcast up to this number of rows (16 bytes each); beyond it they are shuffled.
 BROADCAST_PAIRS = 100_000
 #: Sets of each bucket that all others of it are compared with.
-LEADERS = 12
+LEADERS = 4
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:

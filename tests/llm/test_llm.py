@@ -211,7 +211,7 @@ def test_vectors_of_repeated_ids(spark, scratch):
 # 4
 
 
-@pytest.mark.parametrize("k, leaders", [(2, 12), (5, 12), (2, 1)])
+@pytest.mark.parametrize("k, leaders", [(2, 4), (5, 4), (2, 1)])
 def test_near_duplicates_against_brute_force(spark, scratch, monkeypatch, k, leaders):
     monkeypatch.setattr(minhash, "LEADERS", leaders)
     texts = corpus(k)
