@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.operators.graph import Inconclusive
-
 from pipeweave.operators.cells import near_join
+from pipeweave.operators.graph import Inconclusive
 from pipeweave.operators.restrict import B
 
+#: Clearances are this much less on the raster, so that a cell is never closed that a way could use.
+SHRINK = 0.75
+
 STEPS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 
 
@@ -28,13 +30,14 @@ def scenes_of(targets: DataFrame, obstacles: DataFrame, reach: float) -> DataFra
 
 
 def _free(rows: pd.DataFrame, reach: float, cell: float) -> np.ndarray:
-    """Which cells of the window around the target no box, widened by its clearance, touches; the target's own is free."""
+    """Which cells of the window around the target have their middle outside of all boxes, widened by their clearance less SHRINK; the target's own is free."""
     n = int(2 * reach / cell) + 1
     free = np.ones((n, n), dtype=bool)
     x, y = rows["x"].iloc[0] - reach, rows["y"].iloc[0] - reach
     for r in rows.dropna(subset=["x0"]).itertuples():
-        i0, i1 = (int(np.clip(np.floor((v - x) / cell), 0, n)) for v in (r.x0 - r.keep, r.x1 + r.keep + cell))
-        j0, j1 = (int(np.clip(np.floor((v - y) / cell), 0, n)) for v in (r.y0 - r.keep, r.y1 + r.keep + cell))
+        wide = max(0.0, r.keep - SHRINK)
+        i0, j0 = (int(np.clip(np.ceil((v - wide - at) / cell - 0.5), 0, n)) for v, at in ((r.x0, x), (r.y0, y)))
+        i1, j1 = (int(np.clip(np.floor((v + wide - at) / cell - 0.5) + 1, 0, n)) for v, at in ((r.x1, x), (r.y1, y)))
         free[i0:i1, j0:j1] = False
     free[n // 2, n // 2] = True
     return free
@@ -91,7 +94,7 @@ def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000) -> list[tuple
     return None
 
 
-def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
+def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 1.0) -> DataFrame:
     """target, enclosed (the flood does not reach the edge of the window), cells it reached."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +105,7 @@ def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 2.0) -> Dat
     return scenes.groupBy("target").applyInPandas(run, "target long, enclosed boolean, cells long")
 
 
-def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
+def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 1.0) -> DataFrame:
     """target, status, length_m, steps of the grid way to the tie (target, tx, ty) of every target: FOUND, NO_WAY or INCONCLUSIVE."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

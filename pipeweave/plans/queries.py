@@ -650,7 +650,7 @@ def _scenes(spark, sf_dir):
     targets = scene(spark, sf_dir, "g_target").select(F.col("ordinal").alias("target"), "x", "y")
     from pipeweave.operators import search
 
-    return search.scenes_of(targets, known.select(*B, F.col("clearance").alias("keep")), 60.0)
+    return search.scenes_of(targets, known.select(*B, (F.col("clearance") + 0.2).alias("keep")), 60.0)
 
 
 @query(None)
@@ -670,12 +670,13 @@ def grid_walk(spark, sf_dir):
 
 @query(None)
 def depth_profile(spark, sf_dir):
-    """Depths every five metres of all pipes with their first two passages; those of coefficient 1.25 keep the pipe above 2.42 m."""
+    """Depths every metre and at both ends of every section of all pipes; passages of coefficient 1.25 keep the pipe above 2.42 m."""
     from pipeweave.operators import depth
 
-    sections = restrict.sections(scene(spark, sf_dir, "g_section").where("passage <= 2"))
-    stations = sections.where("ceil(from_m / 5) <= floor(to_m / 5)").select("edge_id", "coefficient", F.explode(F.sequence(F.ceil(F.col("from_m") / 5) * 5, F.floor(F.col("to_m") / 5) * 5, F.lit(5).cast("bigint"))).alias("at_m"))
-    bounded = stations.groupBy("edge_id", F.col("at_m").cast("double").alias("at_m")).agg(F.max("coefficient").alias("weight"))
+    sections = restrict.sections(scene(spark, sf_dir, "g_section"))
+    whole = F.expr("CASE WHEN ceil(from_m) <= floor(to_m) THEN sequence(ceil(from_m), floor(to_m)) ELSE array() END").cast("array<double>")
+    stations = sections.select("edge_id", "coefficient", F.explode(F.concat(F.array("from_m", "to_m"), whole)).alias("at_m"))
+    bounded = stations.groupBy("edge_id", "at_m").agg(F.max("coefficient").alias("weight"))
     hi = F.when(F.col("weight") == 1.25, 2.42).otherwise(F.lit(float("inf")))
     return depth.profiles(bounded.withColumns({"lo": F.lit(0.7), "hi": hi})).withColumn("depth", F.round("depth", 6))
 
