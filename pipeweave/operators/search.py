@@ -105,7 +105,7 @@ def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 1.0) -> Dat
     return scenes.groupBy("target").applyInPandas(run, "target long, enclosed boolean, cells long")
 
 
-def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 1.0) -> DataFrame:
+def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
     """target, status, length_m, steps of the grid way to the tie (target, tx, ty) of every target: FOUND, NO_WAY or INCONCLUSIVE."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +116,8 @@ def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float =
         if 0 <= i < len(free) and 0 <= j < len(free):
             goals[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2] = True
         try:
-            way, status = walk(free, goals & free), "NO_WAY"
+            goals &= flood(free)  # what the flood does not reach needs no search
+            way, status = (walk(free, goals) if goals.any() else None), "NO_WAY"
         except Inconclusive:
             way, status = None, "INCONCLUSIVE"
         status = status if way is None else "FOUND"
