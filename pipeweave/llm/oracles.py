@@ -72,3 +72,42 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 OP9 = r"""WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
   plain AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM body)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain"""
+
+
+#: Each order applied step by step: a document goes at the first of its failures.
+OP12 = r"""
+WITH RECURSIVE letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders(o) AS (SELECT l FROM letters UNION ALL SELECT o || l FROM orders, letters WHERE NOT contains(o, l)),
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text),
+said AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+fails AS (
+  SELECT w.doc_id, w.part,
+    CASE WHEN len(w.w) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w.w)) < 50 * len(w.w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN f.first_id < w.doc_id THEN 'E' ELSE '' END AS failed
+  FROM words w JOIN firsts f ON f.text = w.text),
+counted AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM fails LEFT JOIN said USING (doc_id) GROUP BY part, failed),
+full_orders AS (SELECT o FROM orders WHERE length(o) = 5),
+went AS (
+  SELECT part, o, failed, n, good, toxic,
+    (SELECT min(position(l IN o)) FROM letters WHERE contains(failed, l)) AS gone_at
+  FROM counted, full_orders),
+steps AS (SELECT o, s::INT AS step, o[s] AS letter FROM full_orders, range(1, 6) t(s)),
+found AS (
+  SELECT part, steps.o AS filter_order, step, letter,
+    sum(CASE WHEN gone_at IS NULL OR gone_at > step THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN gone_at = step THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN contains(failed, letter) AND gone_at < step THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = letter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN gone_at = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN gone_at = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM went JOIN steps ON steps.o = went.o GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM found"""

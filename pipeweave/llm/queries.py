@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipeweave.llm import oracles
+from pipeweave.llm import bytetokens, oracles
+from pipeweave.llm.alignment import align_corpus
+from pipeweave.llm.audit import audit
 from pipeweave.llm.chat import digests, format_chat
 from pipeweave.llm.html import extract
 from pipeweave.llm.minhash import near_duplicates
 from pipeweave.llm.mixing import NEW, mix_sources
+from pipeweave.llm.packing import cut, pack
 from pipeweave.llm.pieces import encode, vocabulary_path
-from pipeweave.llm.quality import FEATURES, MORE_FEATURES, judge
+from pipeweave.llm.quality import FEATURES, MORE_FEATURES, judge, words_of
 from pipeweave.llm.storage import Scratch
 from pipeweave.llm.substrings import substring_dedup
 from pipeweave.llm.urls import judge_urls
@@ -84,10 +87,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, Scratch(spark, "op10")).select("doc_id", *FEATURES, "base_failed", "kept", "p_good", *MORE_FEATURES)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_corpus(docs, bytetokens.vocabulary_path(), vocabulary_path(), Scratch(spark, "op11"))[0]
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A: few words, B: few different ones, C: many capitals, D: odd characters, E: a copy."""
+    docs, labels = (_table(spark, sf_dir, x) for x in ("documents", "labels"))
+    t = F.col("_text")
+    conditions = {
+        "A": F.size(words_of(t)) < 200,
+        "B": 100 * F.size(F.array_distinct(words_of(t))) < 50 * F.size(words_of(t)),
+        "C": 100 * F.length(F.regexp_replace(t, "[^A-Z]+", "")) > 3 * F.length(t),
+        "D": t.rlike("[#$%&*|]"),
+    }
+    return audit(docs, labels, conditions, {"good": "quality = 1", "toxic": "toxic = 1"}, Scratch(spark, "op12"), copies="E")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = cut(docs, bytetokens.vocabulary_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(pieces, Scratch(spark, "op13"))
+
+
 def queries() -> dict:
     found = (
         op1_sentencepiece, op2_source_mixing, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_lm_scoring,
         op6_url_filters, op7_chat_formatting, op8_substring_dedup, op9_html_extraction, op10_quality_rules,
+        op11_cross_tokenizer_alignment, op12_filter_interaction_audit, op13_best_fit_packing,
     )
     return {f.__name__: f for f in found}
 
@@ -100,4 +128,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": oracles.OP7,
         "op8_substring_dedup": oracles.OP8,
         "op9_html_extraction": oracles.OP9,
+        "op12_filter_interaction_audit": oracles.OP12,
     }
