@@ -3,9 +3,9 @@
 Documents become pieces of at most `size` tokens. Pieces are dealt to partitions of bounded size; each is
 packed by best fit, longest first. Dual feasible functions give a lower bound of a partition's sequences: a partition
 that meets its bound is certified and its full sequences are done. Partitions with a gap exchange their documents,
-together with what lies in sequences that are not full, are dealt anew and packed again. Where these meet their bound and the whole
-does not meet its own, all documents are dealt to partitions of twice the size, up to eight times. It ends when the sequences meet
-the bound of the whole, or when two deals in a row bring nothing. A new deal that needs no fewer sequences than the old one is dropped.
+together with what lies in sequences that are not full, are dealt anew and packed again. Where these meet their bound, or a deal brings
+nothing, all documents are dealt to partitions of twice the size. It ends when the sequences meet the bound of the whole, or when
+partitions of eight times the size bring nothing. A new deal that needs no fewer sequences than the old one is dropped.
 
 The driver sees one count for each length, `size` at most, and totals. Rows carry lengths and whatever columns
 came with them; texts and ids need not be among them.
@@ -157,24 +157,24 @@ def pack(pieces: DataFrame, scratch: Scratch, size: int = 2048, per_part: int =
     if not n:
         return todo.select(*own, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     least, dealt_to = lower_bound(counts, size), per_part
-    now, done, idle = deal(todo, n, 0, per_part), [], 0
+    now, done, idle = deal(todo, n, 0, per_part), [], False
     number = lambda df: df.where("_offset = 0").count()
     is_open = (F.col("_gap") > 0) | (F.col("_fill") < size)
     total = number(now)
     for turn in range(1, most_rounds + 1):
-        if total <= least or idle == 2:
+        if total <= least:
             break
         fixed, exchanged = now.where(~is_open), now.where(is_open)
         counts = histogram(exchanged)
         had, some = number(exchanged), int(counts.sum())
-        if had <= lower_bound(counts, size):  # only what is full could help: all documents, in larger partitions
+        if idle or had <= lower_bound(counts, size):  # what is full could help: all documents, in larger partitions
             if n <= dealt_to or dealt_to >= _WIDEST * per_part:
                 break
             exchanged, fixed, had, some, dealt_to = union([*done, now]), None, total, n, 2 * dealt_to
         again = deal(exchanged.select(*own, "_uid"), some, turn, dealt_to)
         won = had - number(again)
-        idle = 0 if won > 0 else idle + 1
-        if won > 0:
+        idle = won <= 0
+        if not idle:
             now, done, total = again, [*done, fixed] if fixed is not None else [], total - won
     return union([*done, now]).select(*own, "sequence_id", F.col("_offset").alias("offset"))
 
