@@ -46,6 +46,23 @@ TIE_IN, PENALTY, PENALTY_FLOW = 5000000, 100000000, 500000
 EPS = 1e-6
 # Depths in metres and the steepest slope.
 NORMAL_DEPTH, LEAST_DEPTH, SLOPE = 3.0, 0.7, 0.10
+# What a passage asks of the depth of the pipe's top, in metres. Columns: type, least depth.
+LEAST_UNDER = (("road", 1.0), ("tram_tracks", 1.2))
+# What lies in the way of the pipe. Columns: type, its top, its height (None: by its DN), gap above and below.
+IN_THE_WAY = (("gas_pipeline", 2.8, 0.4, 0.2), ("power_cable", 2.7, 0.2, 0.5), ("heat_network", 3.0, None, 0.5))
+UNKNOWN_HEIGHT = 1.6
+
+
+def allowed_depths(type_: str, height: float, existing: float | None = None) -> list[tuple[float, float]]:
+    """Intervals for the depth of the top of a pipe of this height at a passage; existing: height of a heat network in the way."""
+    for name, least in LEAST_UNDER:
+        if name == type_:
+            return [(least, float("inf"))]
+    for name, top, tall, gap in IN_THE_WAY:
+        if name == type_:
+            tall = (UNKNOWN_HEIGHT if existing is None else existing) if tall is None else tall
+            return [(LEAST_DEPTH, top - gap - height), (top + tall + gap, float("inf"))]
+    return [(LEAST_DEPTH, float("inf"))]
 
 
 def _values(rows: tuple, names: str) -> str:

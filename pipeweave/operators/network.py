@@ -65,6 +65,30 @@ def paths_up(edges: DataFrame, root: str) -> DataFrame:
     return out
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """node, parent, head, rank: runs of nodes without branches, numbered from the topmost, their head, on.
+
+    edges: node, parent; a parent that is no node is a root. Pointers double each round, so rounds grow with the logarithm
+    of the longest run. Nodes still on their way have pointers of their own, as they are at different places of their run, so no key
+    of the join is hot. Nodes of a cycle without branches have no head and no row.
+    """
+    scratch, only = Scratch(edges.sparkSession, "chains"), ["node", "ptr", "rank", "done"]
+    few = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").join(edges.select(F.col("node").alias("parent")), "parent", "left_semi")
+    inner = edges.join(few, "parent", "left")
+    state = scratch.keep(
+        inner.select("node", F.when(F.col("_n") == 1, F.col("parent")).otherwise(F.col("node")).alias("ptr"), F.when(F.col("_n") == 1, 1).otherwise(0).cast("long").alias("rank"), F.col("_n").isNull().alias("done")), "state"
+    )
+    rounds, most = 0, max(1, state.count()).bit_length() + 1
+    while not state.where("not done").isEmpty():
+        if rounds > most:
+            state = state.where("done")
+            break
+        to = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("_to"), F.col("rank").alias("_more"), F.col("done").alias("_end"))
+        moved = state.where("not done").join(to, "ptr").select("node", F.col("_to").alias("ptr"), (F.col("rank") + F.col("_more")).alias("rank"), F.col("_end").alias("done"))
+        state, rounds = scratch.keep(state.where("done").select(*only).unionByName(moved), "state"), rounds + 1
+    return edges.join(state.select("node", F.col("ptr").alias("head"), "rank"), "node")
+
+
 def subtree_flow(edges: DataFrame, root: str = "root") -> DataFrame:
     """The flow of each edge: its own and that of all nodes below."""
     up = paths_up(edges, root).join(edges.select("node", "flow"), "node")

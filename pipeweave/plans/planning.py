@@ -337,3 +337,22 @@ NEW = (
     "plan_admissible", "safe_ids", "result_headers", "crs_names", "export_documents", "explain_chambers", "ring_sides",
 )
 __all__ = ["NEW", "with_scenes"]
+
+
+# Depths
+
+#: Which type a passage of a scene is, by its coefficient.
+_BY_K = "CASE k WHEN 1.05 THEN 'heat_network' WHEN 1.15 THEN 'power_cable' WHEN 1.25 THEN 'gas_pipeline' WHEN 1.60 THEN 'road' ELSE 'tram_tracks' END"
+
+
+@query(None)
+def tree_depths(spark, sf_dir):
+    """Least-cost depths of the whole forest, under and over the passages of the order lines of each pipe's number. Each tree has a tie of its own."""
+    from pipeweave.operators import tree_depth
+
+    over = scene(spark, sf_dir, "g_section").withColumn("node", F.col("edge_id")).withColumn("types", F.expr(f"array({_BY_K})")).withColumn("heights", F.expr("array(0.315D)"))
+    section = F.struct("from_m", "to_m", F.col("k").alias("coefficient"), F.lit(True).alias("special"), "types", "heights")
+    sections = over.groupBy("node").agg(F.sort_array(F.collect_list(section)).alias("sections"))  # an order has seven lines at most
+    sizes = rules.dn_table(spark).select("dn", "height", "rate")
+    pipes = _pipes(spark, sf_dir).withColumn("parent", F.when(F.col("parent") == -1, -1 - F.col("node")).otherwise(F.col("parent"))).join(F.broadcast(sizes), "dn").join(sections, "node", "left")
+    return tree_depth.tree_depths(pipes).select("node", "feasible", F.round("cost", 2).alias("cost"), F.round("from_depth", 6).alias("from_depth"), F.round("to_depth", 6).alias("to_depth"), F.size("knots").cast("long").alias("n_knots"))
