@@ -31,6 +31,8 @@ from pipeweave.storage import Scratch
 
 #: Pipes in a row at most.
 RUN = 64
+#: Stations that a task costs.
+AT_ONCE = 4000
 PULL = 1e-7
 _NEAR = 60.0  # from a passage on, where fine stations end
 
@@ -258,6 +260,7 @@ def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float | None = None,
     """
     scratch = Scratch(pipes.sparkSession, "depths")
     pipes = pipes.select("node", "parent", F.col("length_m").cast("double").alias("length_m"), F.col("rate").cast("double").alias("rate"), F.col("height").cast("double").alias("height"), F.col("sections").cast(f"array<{SECTION}>").alias("sections"))
+    pipes = scratch.keep(pipes, "pipes")
     surveyed = scratch.keep(pipes.mapInArrow(_survey(step), "stations long, critical array<double>"), "survey")
     stations = surveyed.agg(F.sum("stations")).first()[0] or 0
     critical = {r[0] for r in surveyed.select(F.explode("critical").alias("v")).distinct().collect()}
@@ -270,17 +273,20 @@ def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float | None = None,
     pieces = scratch.keep(pieces.select(F.col("pipes")[0]["parent"].alias("top"), F.element_at("pipes", -1)["node"].alias("bottom"), "pipes"), "pieces")
 
     most = pieces.count()
-    tiers = [scratch.keep(pieces.join(pieces.select(F.col("bottom").alias("top")), "top", "left_anti"), "tier")]
-    while not tiers[-1].isEmpty():
-        if len(tiers) > most:
+    tiers, sizes = [scratch.keep(pieces.join(pieces.select(F.col("bottom").alias("top")), "top", "left_anti"), "tier")], []
+    while n := tiers[-1].count():
+        sizes.append(n)
+        if sum(sizes) > most:
             raise ValueError("a node has two parents")
         tiers.append(scratch.keep(pieces.join(tiers[-1].select(F.col("bottom").alias("top")), "top", "left_semi"), "tier"))
     tiers = tiers[:-1]
+    # Small in bytes, large in work: dealt by stations, which coalescing by size does not see.
+    dealt = lambda df, i: df.repartition(1 + int(stations * sizes[i] / most) // AT_ONCE)
 
     sums: list[DataFrame | None] = [None] * (len(tiers) + 1)  # what hangs on each node, by level
     with_below = lambda i: tiers[i].withColumn("below", F.lit(None).cast("array<double>")) if sums[i + 1] is None else tiers[i].join(sums[i + 1].withColumnsRenamed({"top": "bottom", "cost": "below"}), "bottom", "left")
     for i in range(len(tiers) - 1, -1, -1):
-        costs = with_below(i).select("top", "below", "pipes").mapInArrow(_upward(values, step, fine), "top long, cost array<double>")
+        costs = dealt(with_below(i).select("top", "below", "pipes"), i).mapInArrow(_upward(values, step, fine), "top long, cost array<double>")
         each = costs.select("top", F.posexplode("cost").alias("at", "c")).groupBy("top", "at").agg(F.sum("c").alias("c"))
         whole = each.groupBy("top").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("cost"))  # one entry a level
         sums[i] = scratch.keep(whole, "sums")
@@ -288,7 +294,7 @@ def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float | None = None,
     for i in range(len(tiers)):
         least = F.array_min("cost")
         start = sums[0].select("top", F.when(least < float("inf"), F.array_position("cost", least) - 1).otherwise(-1).cast("int").alias("level")) if i == 0 else found[-1].where("node = bottom").select(F.col("bottom").alias("top"), "level")
-        given = with_below(i).join(start, "top").select("bottom", "below", "pipes", "level")
+        given = dealt(with_below(i).join(start, "top").select("bottom", "below", "pipes", "level"), i)
         found.append(scratch.keep(given.mapInArrow(_downward(values, step, fine), _OUT), "found"))
     done = reduce(DataFrame.unionByName, found).drop("bottom", "level") if found else None
     lost = pipes.join(done.select("node"), "node", "left_anti") if done is not None else pipes

@@ -356,3 +356,14 @@ def tree_depths(spark, sf_dir):
     sizes = rules.dn_table(spark).select("dn", "height", "rate")
     pipes = _pipes(spark, sf_dir).withColumn("parent", F.when(F.col("parent") == -1, -1 - F.col("node")).otherwise(F.col("parent"))).join(F.broadcast(sizes), "dn").join(sections, "node", "left")
     return tree_depth.tree_depths(pipes).select("node", "feasible", F.round("cost", 2).alias("cost"), F.round("from_depth", 6).alias("from_depth"), F.round("to_depth", 6).alias("to_depth"), F.size("knots").cast("long").alias("n_knots"))
+
+
+@query(None)
+def exact_enclosure(spark, sf_dir):
+    """Whether a way for the smallest pipe leads out from each target, or to a line, by overlapping zones."""
+    from pipeweave.operators import enclosure
+
+    dn, width = rules.DN_ROWS[0][:2]
+    walls = enclosure.blockers(scene(spark, sf_dir, "g_part_edge"), rules.rule_table(spark), dn, width)
+    targets = scene(spark, sf_dir, "g_target").select(F.col("ordinal").alias("target"), "x", "y")
+    return enclosure.enclosures(targets, walls, scene(spark, sf_dir, "g_line"))
