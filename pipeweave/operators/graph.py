@@ -98,7 +98,7 @@ def astar(target: np.ndarray, ties: np.ndarray, boxes: np.ndarray, most: int = 4
 
 
 def routes(scenes: DataFrame) -> DataFrame:
-    """target, status, length_m, vertices of each target's way. scenes: target, x, y, kind ('tie' or 'box'), x0, y0, x1, y1, kept bounded by the caller's radius and number of ties."""
+    """target, status, length_m, vertices of each target's way. scenes: target, x, y, kind ('tie' or 'box'), x0, y0, x1, y1, kept bounded by the caller's radius and number of ties. Status: ROUTED, or SEARCH_INCOMPLETE, as what was searched is a part of the plane; points: the way from the tie on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["kind", "x0", "y0", "x1", "y1"])
@@ -106,13 +106,13 @@ def routes(scenes: DataFrame) -> DataFrame:
         ties = rows.loc[rows["kind"] == "tie", ["x0", "y0"]].to_numpy(dtype=float)
         boxes = rows.loc[rows["kind"] == "box", ["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
         try:
-            found, status = (astar(target, ties, boxes) if len(ties) else None), "NO_ROUTE_FOUND"
+            found, status = (astar(target, ties, boxes) if len(ties) else None), "SEARCH_INCOMPLETE"
         except Inconclusive:
-            found, status = None, "SEARCH_INCONCLUSIVE"
+            found, status = None, "SEARCH_INCOMPLETE"
         if found is None:
-            return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [None], "vertices": [0]})
+            return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [None], "vertices": [0], "points": [None]})
         way, at = found
         length = float(np.sqrt((np.diff(at[way], axis=0) ** 2).sum(axis=1)).sum())
-        return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": ["ROUTED"], "length_m": [length], "vertices": [len(way)]})
+        return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": ["ROUTED"], "length_m": [length], "vertices": [len(way)], "points": [[{"x": float(x), "y": float(y)} for x, y in at[way]]]})
 
-    return scenes.groupBy("target").applyInPandas(run, "target long, status string, length_m double, vertices long")
+    return scenes.groupBy("target").applyInPandas(run, "target long, status string, length_m double, vertices long, points array<struct<x: double, y: double>>")

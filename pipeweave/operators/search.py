@@ -106,7 +106,7 @@ def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 1.0) -> Dat
 
 
 def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
-    """target, status, length_m, steps of the grid way to the tie (target, tx, ty) of every target: FOUND, NO_WAY or INCONCLUSIVE."""
+    """target, status, length_m, steps of the grid way to the tie (target, tx, ty) of every target: FOUND, or SEARCH_INCOMPLETE, as the window is no proof that there is no way."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         free = _free(rows, reach, cell)
@@ -117,9 +117,9 @@ def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float =
             goals[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2] = True
         try:
             goals &= flood(free)  # what the flood does not reach needs no search
-            way, status = (walk(free, goals) if goals.any() else None), "NO_WAY"
+            way, status = (walk(free, goals) if goals.any() else None), "SEARCH_INCOMPLETE"
         except Inconclusive:
-            way, status = None, "INCONCLUSIVE"
+            way, status = None, "SEARCH_INCOMPLETE"
         status = status if way is None else "FOUND"
         length = None if way is None else sum(float(np.hypot(a - c, b - d)) for (a, b), (c, d) in zip(way, way[1:], strict=False)) * cell
         return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [length], "steps": [0 if way is None else len(way) - 1]})

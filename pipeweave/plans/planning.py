@@ -367,3 +367,14 @@ def exact_enclosure(spark, sf_dir):
     walls = enclosure.blockers(scene(spark, sf_dir, "g_part_edge"), rules.rule_table(spark), dn, width)
     targets = scene(spark, sf_dir, "g_target").select(F.col("ordinal").alias("target"), "x", "y")
     return enclosure.enclosures(targets, walls, scene(spark, sf_dir, "g_line"))
+
+
+@query(None)
+def route_outcomes(spark, sf_dir):
+    """Each target's way to the network by ever wider searches, or the proof that there is none, for the smallest pipe."""
+    from pipeweave.operators import escalation
+
+    dn, width = rules.DN_ROWS[0][:2]
+    targets = scene(spark, sf_dir, "g_target").select(F.col("ordinal").alias("target"), "x", "y")
+    found = escalation.outcomes(targets, scene(spark, sf_dir, "g_obstacle"), scene(spark, sf_dir, "g_line"), rules.rule_table(spark), dn, width)
+    return found.select("target", "status", "stage", F.round("length_m", 6).alias("length_m"), F.size("points").cast("long").alias("vertices"))

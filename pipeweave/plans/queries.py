@@ -742,7 +742,9 @@ def route_astar(spark, sf_dir):
     wide = known.selectExpr("x0 - clearance AS x0", "y0 - clearance AS y0", "x1 + clearance AS x1", "y1 + clearance AS y1")
     targets = tie.select("target", "x", "y").distinct()
     box = restrict.near_join(targets, wide, ("x", "y", "x", "y"), B, 120.0, 128.0).select("target", "x", "y", F.lit("box").alias("kind"), *B)
-    return graph.routes(tie.unionByName(box)).withColumn("length_m", F.round("length_m", 6))
+    found = graph.routes(tie.unionByName(box)).select("target", "status", F.round("length_m", 6).alias("length_m"), "vertices")
+    rest = scene(spark, sf_dir, "g_target").select(F.col("ordinal").alias("target"))
+    return rest.join(found, "target", "left").select("target", F.coalesce("status", F.lit("SEARCH_INCOMPLETE")).alias("status"), "length_m", F.coalesce("vertices", F.lit(0)).alias("vertices"))
 
 
 @query(
