@@ -79,21 +79,17 @@ def astar(target: np.ndarray, ties: np.ndarray, boxes: np.ndarray, most: int = 4
                 state = back[state]
                 way.append(state[1])
             return way[::-1], at
-        for j in range(n, len(at)):
-            if j == i:
-                continue
-            if before >= 0 and (at[i] - at[before]) @ (at[j] - at[i]) < -1e-9:
-                continue
-            new = g + float(np.sqrt(((at[j] - at[i]) ** 2).sum()))
+        if i not in seen:
+            seen[i] = np.array([False] * n + [j != i and _clear(at[i], at[j], boxes) for j in range(n, len(at))])
+        step = at - at[i]
+        some = seen[i] if before < 0 else seen[i] & (step @ (at[i] - at[before]) >= -1e-9)
+        for j in np.flatnonzero(some).tolist():
+            new = g + float(np.sqrt((step[j] ** 2).sum()))
             if new >= best.get((i, j), np.inf) - 1e-6:
                 continue
-            key = (min(i, j), max(i, j))
-            if key not in seen:
-                seen[key] = _clear(at[i], at[j], boxes)
-            if seen[key]:
-                best[i, j], back[i, j] = new, (before, i)
-                count += 1
-                heapq.heappush(queue, (new + ahead[j], count, i, j))
+            best[i, j], back[i, j] = new, (before, i)
+            count += 1
+            heapq.heappush(queue, (new + ahead[j], count, i, j))
     raise Inconclusive
 
 
