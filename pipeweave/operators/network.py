@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +91,45 @@ def chains(edges: DataFrame) -> DataFrame:
     return edges.join(state.select("node", F.col("ptr").alias("head"), "rank"), "node")
 
 
+def fold_up(edges: DataFrame, how: dict[str, str]) -> DataFrame:
+    """node and, for each column of how ("sum" or "max"), the fold over the node and all below it.
+
+    edges: node, parent and the columns; a parent that is no node is a root. Each round takes off all runs that end in a leaf, whose
+    folds pointer doubling gives, and adds them to the nodes that they hang on: what was a branching with runs below is then the
+    end of a run, so the leaves at least halve. Rounds grow with the logarithms of the leaves and of the longest run, rows with the nodes
+    alone. A cycle is an error. Nulls count as nothing.
+    """
+    scratch, values = Scratch(edges.sparkSession, "fold"), list(how)
+    both = lambda c, a, b: F.coalesce(F.col(a) + F.col(b), a, b) if how[c] == "sum" else F.greatest(a, b)
+    over = lambda c: (F.sum if how[c] == "sum" else F.max)(c).alias(c)
+    alive, found = scratch.keep(edges.select("node", "parent", *values), "alive"), []
+    most = max(1, alive.count()).bit_length() + 1
+    while not alive.isEmpty():
+        below = alive.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("ptr"))
+        kind = F.when(F.col("_n").isNull(), "done").when(F.col("_n") == 1, "moving").otherwise("stuck")
+        state = scratch.keep(alive.join(below, "node", "left").select("node", "ptr", kind.alias("kind"), *values), "state")
+        rounds = 0
+        while not state.where("kind = 'moving'").isEmpty():
+            if rounds > most:
+                raise ValueError("the edges have a cycle: some nodes never come to a root")
+            to = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("kind").alias("_kind"), *[F.col(c).alias(f"_{c}") for c in values])
+            moved = state.where("kind = 'moving'").drop("kind").join(to, "ptr").select("node", F.col("_ptr").alias("ptr"), F.col("_kind").alias("kind"), *[both(c, c, f"_{c}").alias(c) for c in values])
+            state, rounds = scratch.keep(state.where("kind <> 'moving'").unionByName(moved), "state"), rounds + 1
+        done = scratch.keep(state.where("kind = 'done'").join(alive.select("node", "parent"), "node").select("node", "parent", *values), "done")
+        if done.isEmpty():
+            raise ValueError("the edges have a cycle: some nodes never come to a root")
+        found.append(done.select("node", *values))
+        rest = alive.join(done.select("node"), "node", "left_anti")
+        # Tops of runs only: what hangs on a node that is itself done is in its fold already.
+        more = done.join(done.select(F.col("node").alias("parent")), "parent", "left_anti").groupBy(F.col("parent").alias("node")).agg(*[over(c) for c in values])
+        more = more.withColumnsRenamed({c: f"_{c}" for c in values})
+        alive = scratch.keep(rest.join(more, "node", "left").select("node", "parent", *[both(c, c, f"_{c}").alias(c) for c in values]), "alive")
+    return reduce(DataFrame.unionByName, found, edges.select("node", *values).limit(0))
+
+
 def subtree_flow(edges: DataFrame, root: str = "root") -> DataFrame:
     """The flow of each edge: its own and that of all nodes below."""
-    up = paths_up(edges, root).join(edges.select("node", "flow"), "node")
-    return up.groupBy(F.col("above").alias("node")).agg(F.sum("flow").alias("flow"), F.count(F.lit(1)).alias("nodes"))
+    return fold_up(edges.select("node", "parent", "flow", F.lit(1).cast("long").alias("nodes")), {"flow": "sum", "nodes": "sum"})
 
 
 def minimum_dn(rows: DataFrame, dn_rows: DataFrame) -> DataFrame:
@@ -104,8 +141,7 @@ def minimum_dn(rows: DataFrame, dn_rows: DataFrame) -> DataFrame:
 
 def monotone_dn(edges: DataFrame, sized: DataFrame, root: str = "root") -> DataFrame:
     """DN of each edge raised to the greatest of the edges below it."""
-    up = paths_up(edges, root).join(sized.select("node", "dn"), "node")
-    return up.groupBy(F.col("above").alias("node")).agg(F.max("dn").alias("dn"))
+    return fold_up(edges.select("node", "parent").join(sized.select("node", "dn"), "node", "left"), {"dn": "max"})
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str, length: str) -> DataFrame:

@@ -55,6 +55,8 @@ def sized(pipes: DataFrame, up: DataFrame, dn_rows: DataFrame, most_rounds: int
         current = scratch.keep(grown.select("node", "length_m", F.when(F.col("_long"), F.col("larger")).otherwise(F.col("dn")).alias("dn"), "_long"), "dn")
         if current.where("_long").isEmpty():
             break
+    else:
+        raise ValueError(f"diameters are not settled after {most_rounds} rounds")
     return current.select("node", "dn")
 
 

@@ -60,9 +60,10 @@ def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
     """ordinal, neighbour, distance_m, rank: the exact k nearest others, ties by ordinal; all others where there are fewer.
 
     Rings of cells grow until no unfinished point is left: a point is finished when its k-th neighbour is
-    nearer than the cells not yet looked at. Only unfinished points go on to the next ring.
+    nearer than the cells not yet looked at. Only unfinished points go on to the next ring. Points with a null or
+    non-finite coordinate are near nobody and have no rows.
     """
-    at = points.select("ordinal", "x", "y")
+    at = points.select("ordinal", "x", "y").where("abs(x) < 1e300D and abs(y) < 1e300D")
     others = at.select(F.col("ordinal").alias("neighbour"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     scratch, todo, done, radius = Scratch(points.sparkSession, "knn"), at, None, cell
     k = min(k, max(at.count() - 1, 0))
