@@ -32,10 +32,10 @@ def same_dn_length(pipes: DataFrame, up: DataFrame) -> DataFrame:
     return same.groupBy("node").agg(F.sum("length_m").alias("length_m"))
 
 
-def sized(pipes: DataFrame, up: DataFrame, dn_rows: DataFrame, most_rounds: int = 18) -> DataFrame:
+def sized(pipes: DataFrame, up: DataFrame, dn_rows: DataFrame, most_rounds: int = 20) -> DataFrame:
     """node, dn: the least diameters that carry the flow, do not grow from the root on, and are not longer in a row than allowed.
 
-    DNs go up by one where a run is too long, until none is; each goes up 17 times at most, so it ends. A pipe
+    DNs go up by one where a run is too long, until none is; each goes up 18 times at most, the last time to null, so it ends. A pipe
     whose flow no DN carries has a null one, and so has all that leads to it.
     """
     from pipeweave.storage import Scratch
