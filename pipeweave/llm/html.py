@@ -2,20 +2,25 @@
 
 A small tokenizer cuts a page into blocks at block-level tags and counts for each its words, stop words
 and characters in links, and tells where it stands: in boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments, by tag, by role or by a whole class name or id), in an article,
-in a main part, in a box of related links, or elsewhere.
+notices, adverts, reader comments, by tag, by role, by class name or id), in an article, in an article
+that only announces another one, in a main part, in a form, in a box of related links, or elsewhere.
 
 First pass, in DataFrame expressions: boilerplate is bad. In an article every block is good, linked ones
-too, but for boxes of related links that are mostly links; on pages with an article all else is bad. On
-pages without, the main part, or else the whole page, is judged by link density, length and stop-word
-density: good, bad, nearly good, or too short to tell. If nothing is good so, as in languages without
-known stop words, length and link density decide alone, and if nothing is long, all that is not linked is
-good. Second pass: a short block is good if its nearest decided neighbours on both sides are, a nearly
+too, but for forms and boxes of related links that are mostly links; on pages with an article all else is
+bad, announcements too, which count as articles only where there is no other. On pages without, the main
+part, or else the whole page, is judged by link density, length and stop-word density: good, bad, nearly
+good, or too short to tell. Text in forms is bad, unless nothing else is good so: then it is judged like
+the rest, as a page may stand in one form. If still nothing is good, as in languages without known stop
+words, length and link density decide alone, and if nothing is long, all that is not linked is good.
+Second pass: a short block is good if its nearest decided neighbours on both sides are, a nearly
 good one if either is; the edges of the page count as bad. The labels of a page are one string, a
 character a block, and neighbours are the ends of its runs.
 
-A class name is boilerplate only as a whole: all its parts are boilerplate words or neutral ones such as
-box or site, so "ad-box" is and "ad-hoc" or "related-work" are not.
+A class name is boilerplate by its head, the last part that is no neutral one such as box, list or a size:
+"reader-comments", "google-ad" and "ad-300x250" are, "ad-hoc" and "related-work" are not, nor is what has,
+or is laid out with, such a part ("has-sidebar"). Words that are common in prose, such as menu or share,
+and ids, which are often made of a headline, count only if all parts are boilerplate or neutral. Names say
+nothing on headings and in pre or code. A header that holds an article does not take it away.
 
 White space in a block becomes one blank, blocks are joined by one blank in page order. Work is linear in
 the page, however its tags are left open. Rows: one per input row, with its columns but the html, and
@@ -54,16 +59,30 @@ _BLOCKS = frozenset(
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _BAD = frozenset("nav header footer aside form menu fieldset".split())
+#: Tags that can change where text stands without a word of their attributes.
+_TELLING = _BAD | {"article", "main"}
+_FORMS = frozenset("form fieldset".split())
 #: Of these, what holds an article all the same is a page in a form or a tag left open, and does not make it boilerplate.
 _LOOSE = frozenset("nav header form menu fieldset".split())
 _BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_BAD_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login "
-    "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted replies respond search share sharing "
-    "sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
+#: Boilerplate where they are the head of a class name, whatever stands before.
+_BAD_HEADS = frozenset(
+    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement advertising breadcrumb breadcrumbs comment commentlist comments cookie cookies disqus footer gdpr header login "
+    "masthead modal nav navbar newsletter pager pagination popup promo promoted replies sidebar signup sponsored sponsors subscribe toolbar".split()
 )
-#: Parts that leave the meaning of a name as it is; digits do too.
-_NEUTRAL = frozenset("area bar block body bottom box btn button buttons container content form global group inner item items left link links list main outer page panel primary right secondary section site slot top unit wrap wrapper".split())
+#: Boilerplate where all parts of the name are boilerplate or neutral.
+_BAD_WORDS = _BAD_HEADS | frozenset("banner consent menu navigation notice notices promotion rail respond search share sharing side sidebox social sponsor widget widgets".split())
+#: Parts that leave the meaning of a name as it is; sizes and digits do too.
+_NEUTRAL = frozenset(
+    "account alert area author bar block body bottom box btn button buttons column container content copyright count date dialog dropdown form frame global group icon iframe inner item items label "
+    "law left legal link links list main message meta mobile outer overlay page panel policy primary privacy reply right secondary section site slot text thread threads title toggle top unit user warning wrap wrapper".split()
+)
+#: Modifiers of ids: not every word before a boilerplate word, as ids are often headlines.
+_MODIFIERS = frozenset("article blog entry google post reader readers visitor visitors".split())
+#: In front of a boilerplate word they tell of a page or table that has such a part.
+_HAVING = frozenset("cell code col column figure has hide is layout no non not row show table template with without".split())
+_SIZE = re.compile(r"\d+(?:x\d+)?(?:px|em|rem)?")
+_TEASERS = frozenset("teaser teasers preview excerpt snippet card related recommended".split())
 _LINK_BOXES = frozenset("related recommended recommendations more-articles read-more see-also further-reading related-articles related-links related-posts".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open blocks of these tags that the start of a tag ends, when nothing else is open within them.
@@ -73,32 +92,36 @@ _ENDS = {
     "tbody": _CELLS | {"tr", "thead", "tbody"}, "tfoot": _CELLS | {"tr", "thead", "tbody"}, "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"]),
 }
 #: Where text stands.
-HIDDEN, BOILERPLATE, ELSEWHERE, ARTICLE, MAIN, LINKBOX = -2, -1, 0, 1, 2, 3
+HIDDEN, BOILERPLATE, ELSEWHERE, ARTICLE, MAIN, LINKBOX, FORM, TEASER = -2, -1, 0, 1, 2, 3, 4, 5
 
 
 @lru_cache(maxsize=4096)
-def _kind(name: str) -> str:
-    """What a whole class name or id says: bad, head, links or nothing."""
-    parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w and not w.isdigit()]
-    if any(w in _BAD_WORDS for w in parts) and all(w in _BAD_WORDS or w in _NEUTRAL for w in parts):
+def _kind(name: str, slug: bool = False) -> str:
+    """What a class name, or an id (slug), says: bad, head, links, teaser or nothing."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w and not _SIZE.fullmatch(w)]
+    if not parts:
+        return ""
+    head = next((i for i in reversed(range(len(parts))) if parts[i] not in _NEUTRAL), 0)
+    whole = any(w in _BAD_WORDS for w in parts) and all(w in _BAD_WORDS or w in _NEUTRAL or (slug and w in _MODIFIERS) for w in parts)
+    if whole or (not slug and parts[head] in _BAD_HEADS):
+        if _HAVING.intersection(parts[:head]):
+            return ""
         return "head" if "header" in parts and not any(w in _BAD_WORDS for w in parts if w != "header") else "bad"
-    return "links" if "-".join(parts) in _LINK_BOXES else ""
+    if "-".join(parts) in _LINK_BOXES:
+        return "links"
+    return "teaser" if not slug and parts[head] in _TEASERS else ""
 
 
 def _named(attributes: str) -> str:
-    """bad, head, links or nothing, of a tag's class, id and role."""
-    out = ""
+    """bad, head, links, teaser or nothing, of a tag's class, id and role."""
+    said = set()
     for m in _CLASS.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            if value.strip().lower() in _BAD_ROLES:
-                return "bad"
+            said.add("bad" if value.strip().lower() in _BAD_ROLES else "")
         else:
-            kinds = {_kind(x) for x in value.split()}
-            if "bad" in kinds:
-                return "bad"
-            out = "head" if "head" in kinds else out or ("links" if "links" in kinds else "")
-    return out
+            said.update(_kind(x, m[1].lower() == "id") for x in value.split())
+    return next((x for x in ("bad", "head", "links", "teaser") if x in said), "")
 
 
 class _Frame:
@@ -184,21 +207,29 @@ def blocks_of(page: str) -> Iterator[dict]:
                 while pop_inline(top) != "a":
                     pass
             above, firm = top.inline[-1][1] if top.inline else top.zone, top.firm
-            said = _named(m[3]) if m[3] and name not in ("html", "body") else ""
+            named = m[3] and name not in ("html", "body") and name not in _HEADINGS and not (open_.get("pre") or top.open.get("code"))
+            said = _named(m[3]) if named else ""
             if above == HIDDEN or name in _DROPPED or (m[3] and _HIDDEN.search(m[3])):
                 new = HIDDEN
+            elif not m[3] and above >= ELSEWHERE and name not in _TELLING:
+                new = above
             elif name == "article":
-                bad = said == "bad" or (above == BOILERPLATE and firm)
-                new, firm = (BOILERPLATE, True) if bad else (ARTICLE, False)
+                if said == "bad" or (above == BOILERPLATE and firm):
+                    new, firm = BOILERPLATE, True
+                else:
+                    announces = said in ("teaser", "links") or above == LINKBOX
+                    new, firm = ARTICLE if above == ARTICLE and not announces else TEASER if announces or above == TEASER else ARTICLE, False
             elif above == BOILERPLATE:
                 new = ARTICLE if name in _HEADINGS and top.head else BOILERPLATE  # an article's own headline
-                firm = firm or said in ("bad", "head") or (name in _BAD and name not in _LOOSE)
+                firm = firm or said == "bad" or (name in _BAD and name not in _LOOSE)
+            elif name in _FORMS and said != "bad" and above not in (ARTICLE, TEASER):
+                new = FORM
             elif said in ("bad", "head") or name in _BAD:
-                new, firm = BOILERPLATE, said in ("bad", "head") or name not in _LOOSE
-            elif above == ELSEWHERE and (name == "main" or (m[3] and "main" in (x[2] or x[3] or x[4] for x in _CLASS.finditer(m[3]) if x[1].lower() == "role"))):
+                new, firm = BOILERPLATE, said == "bad" or name not in _LOOSE and name in _BAD
+            elif above in (ELSEWHERE, FORM) and (name == "main" or (m[3] and "main" in (x[2] or x[3] or x[4] for x in _CLASS.finditer(m[3]) if x[1].lower() == "role"))):
                 new = MAIN
             else:
-                new = LINKBOX if said == "links" and above != ELSEWHERE else above
+                new = LINKBOX if said == "links" and above not in (ELSEWHERE, FORM) else above
             if block:
                 head = new == BOILERPLATE and (top.head if above == BOILERPLATE else above == ARTICLE and (name == "header" or said == "head"))
                 frames.append(_Frame(name, new, firm, head and said != "bad" and (name == "header" or name not in _BAD)))
@@ -231,27 +262,34 @@ def _labels(blocks: Column) -> Column:
     """First pass: g good, b bad, n nearly good, s too short to tell."""
     joined = lambda rule: F.array_join(F.transform(blocks, rule), "")
     mostly = lambda b: 2 * b["linked"] > b["chars"]
-    in_article = lambda b: F.when(b["zone"] == ARTICLE, "g").when((b["zone"] == LINKBOX) & ~mostly(b), "g").otherwise("b")
+    in_article = lambda zone: lambda b: F.when(b["zone"] == zone, "g").when((b["zone"] == LINKBOX) & ~mostly(b), "g").otherwise("b")
 
     def judged(main: Column) -> Column:
         """By rules of blocks, in the main part if there is one."""
 
-        def out_of_place(b: Column) -> Column:
-            here = F.when(main, b["zone"] == MAIN).otherwise(b["zone"] == ELSEWHERE)
-            return ~(here | (b["zone"] == LINKBOX)) | (3 * b["linked"] > b["chars"])
+        def out_of_place(b: Column, forms: bool) -> Column:
+            here = F.when(main, b["zone"] == MAIN).otherwise(b["zone"] == ELSEWHERE) | (b["zone"] == LINKBOX)
+            return ~(here | (b["zone"] == FORM) if forms else here) | (3 * b["linked"] > b["chars"])
+
+        def dense(forms: bool):
+            def rule(b: Column) -> Column:
+                by_stops = F.when(_length(b) >= 30, "g").otherwise("n")
+                short = F.when(b["linked"] > 0, "b").otherwise("s")
+                return F.when(out_of_place(b, forms), "b").when(_length(b) < 10, short).when(100 * b["stops"] >= 30 * b["words"], by_stops).when(_length(b) >= 20, "n").otherwise("s")
+
+            return rule
+
+        long = lambda forms: lambda b: F.when(out_of_place(b, forms), "b").when(_length(b) >= 10, "g").otherwise("s")
+        any_ = lambda forms: lambda b: F.when(out_of_place(b, forms), "b").otherwise("g")
+        tries = [joined(rule(forms)) for rule in (dense, long, any_) for forms in (False, True)]
 
-        def dense(b: Column) -> Column:
-            by_stops = F.when(_length(b) >= 30, "g").otherwise("n")
-            short = F.when(b["linked"] > 0, "b").otherwise("s")
-            return F.when(out_of_place(b), "b").when(_length(b) < 10, short).when(100 * b["stops"] >= 30 * b["words"], by_stops).when(_length(b) >= 20, "n").otherwise("s")
+        def first_with_good(rest: list[Column]) -> Column:
+            return rest[0] if len(rest) == 1 else _let(rest[0], lambda x: F.when(x.contains("g"), x).otherwise(first_with_good(rest[1:])))
 
-        long = lambda b: F.when(out_of_place(b), "b").when(_length(b) >= 10, "g").otherwise("s")
-        any_ = lambda b: F.when(out_of_place(b), "b").otherwise("g")
-        or_else = lambda labels, other: F.when(labels.contains("g"), labels).otherwise(other)
-        return _let(joined(dense), lambda x: or_else(x, _let(joined(long), lambda y: or_else(y, joined(any_)))))
+        return first_with_good(tries)
 
     has = lambda zone: F.exists(blocks, lambda b: b["zone"] == zone)
-    return F.when(has(ARTICLE), joined(in_article)).otherwise(_let(has(MAIN), judged))
+    return F.when(has(ARTICLE), joined(in_article(ARTICLE))).when(has(TEASER), joined(in_article(TEASER))).otherwise(_let(has(MAIN), judged))
 
 
 def _decided(labels: Column) -> Column:

@@ -425,6 +425,35 @@ def test_extraction_keeps_all_of_an_article(spark):
     assert text_of(spark, *pages) == list(pages.values())
 
 
+@pytest.mark.parametrize("name", "reader-comments user-comments comment-thread comments-area ad-300x250 google-ad div-gpt-ad-1468-0 adsbygoogle article-footer post-footer site-nav cookie-law cookieNotice sponsored-content".split())
+def test_extraction_names_of_boilerplate(spark, name):
+    body = "The house that was in the middle of the town is not for the people who have been there with all of their things and he was one of them as you will see it."
+    pages = [f'<article><p>Body.</p><div class="{name}"><p>Other.</p></div></article>', f'<p>{body}</p><div class="x {name}"><p>{body[::-1]}</p></div>']
+    assert text_of(spark, *pages) == ["Body.", body]
+
+
+@pytest.mark.parametrize("name", "ad-hoc related-work has-sidebar no-comments page-with-sidebar layout-sidebar-right table-header market-share comment-on-the-law elementor-widget food-menu".split())
+def test_extraction_names_of_prose(spark, name):
+    assert text_of(spark, f'<article><p>Body.</p><div class="{name}"><p>More.</p></div></article>', f'<article><h2 id="public-comments">Head</h2><section id="public-comments">More.</section><pre class="x"><span class="hljs-comment"># note</span></pre></article>') == [
+        "Body. More.", "Head More. # note"
+    ]
+
+
+def test_extraction_forms_headers_and_teasers(spark):
+    good = "The house that was in the middle of the town is not for the people who have been there with all of their things and he was one of them as you will see it."
+    pages = {
+        f"<form action=x><div><p>{good}</p><p>Short one.</p><p>{good}</p></div><input></form><div>Tail</div>": f"{good} Short one. {good}",
+        f"<p>{good}</p><form><p>{good[::-1]}</p></form>": good,
+        f"<form><nav>Menu</nav><main><p>{good}</p></main><p>{good[::-1]}</p></form>": good,
+        "<div class=header><article><p>Body.</p></article></div>": "Body.",
+        '<article><p>Body.</p></article><div class="side-box"><article><p>Other.</p></article></div>': "Body.",
+        '<div><article class="teaser"><p>Other.</p></article></div><article><p>Body.</p></article>': "Body.",
+        '<article class="teaser"><p>One.</p></article><article class="post-teaser"><p>Two.</p></article>': "One. Two.",
+        "<article><p>Body.</p><form><p>Name</p></form></article>": "Body.",
+    }
+    assert text_of(spark, *pages) == list(pages.values())
+
+
 def test_extraction_takes_linear_time(spark):
     import time
 
