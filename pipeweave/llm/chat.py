@@ -11,7 +11,9 @@ them out again. The loss mask covers the contents of the trained roles, as range
 
 Rows: one per distinct conv_id, null included. Null texts and roles count as empty. Repeated rows are
 messages of their own. Messages of equal turn are ordered by role, then parts; null turns come first.
-A part of an unknown type gives a file placeholder of no tokens. Other columns of the input are left out.
+A part of an unknown type, of a null type or null itself gives a file placeholder of no tokens, and a row
+among the attachments like any other. Other columns of the input are left out. An empty table gives no rows.
+Texts are taken whole: a conversation is one string, and must fit a task.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def unescaped(text: Column) -> Column:
 def _content(parts: Column) -> Column:
     """The visitor: what each part becomes in the string."""
     kind = lambda p: F.when(p["type"].isin(*RATES), p["type"]).otherwise("file")
-    one = lambda p: F.when(p["type"] == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(
+    one = lambda p: F.when(p["type"].eqNullSafe("text"), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(
         F.concat(F.lit("<|"), kind(p), F.lit("|>"))
     )
     return F.array_join(F.transform(parts, one), "")
@@ -70,7 +72,7 @@ def format_chat(messages: DataFrame, trained: tuple[str, ...] = ("assistant",),
             ),
         ).alias("said"),
         F.transform(
-            F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), lambda p: p["type"] != "text"),
+            F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), lambda p: ~p["type"].eqNullSafe("text")),
             lambda p, i: F.struct(i.alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p, rates).alias("tokens")),
         ).alias("attachments"),
     )

@@ -13,8 +13,11 @@ up the counts of all blocks and answers each block with the sums, in the order o
 that answers carry no keys. A block's answers then meet its documents. Hashes of a block are sent sorted, as
 differences, in compressed byte planes: as rows of their own they would be several times the input.
 
-Rows: one per input row. Texts without words have n_tokens 0 and null losses. Without target documents the
-target model is uniform.
+Rows: one per input row, with its columns but the text; columns that have one of the new names (NEW) are
+replaced, names of helper columns give way to the input's. Null, empty and wordless texts have n_tokens 0 and
+null losses. Texts are taken whole, however long. Repeated rows count as often as they stand, repeated ids
+share whether they are targets, a null doc_id is never one. An empty table gives no rows; without target
+documents the target model is uniform.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipeweave.llm.lm import BROADCAST_ROWS
+from pipeweave.llm.names import fresh
 from pipeweave.llm.storage import Scratch
 from pipeweave.llm.words import Words, columns, mix
 
@@ -137,22 +141,27 @@ def _scorer(others: list[str], text: str, words: int, total: int, in_target: int
     return run
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("_block"))
+def _blocks(docs: DataFrame, name: str) -> DataFrame:
+    return docs.select("*", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias(name))
 
 
 def score_words(docs: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text) with n_tokens (long), loss_target, loss_corpus and loss_difference (double, nats a word) in place of the text. targets: doc_id of each target document, distinct."""
     docs = docs.drop(*NEW)
+    named = docs.columns
+    (block,) = fresh(docs, "_block")
     try:
-        placed = _blocks(docs)
-    except AnalysisException:  # not straight from files
-        placed = _blocks(scratch.keep(docs, "docs"))
+        placed = _blocks(docs, block)
+    except AnalysisException:  # not straight from files; a column of the input's may hide where rows stand
+        hides = [c for c in named if c.lower() == "_metadata"]
+        (apart,) = fresh(docs, "_meta_of_input")
+        placed = _blocks(scratch.keep(docs.withColumnsRenamed({c: apart for c in hides}), "docs"), block)
+        docs = placed.drop(block)
     size = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = max(12, -(-size // SHARE_BYTES))
     few = targets.count() <= BROADCAST_ROWS
     marked = targets.select("doc_id", F.lit(True).alias("_target"))
-    flagged = placed.select("doc_id", "text", "_block").join(F.broadcast(marked) if few else marked, "doc_id", "left")
+    flagged = placed.select("doc_id", "text", F.col(block).alias("_block")).join(F.broadcast(marked) if few else marked, "doc_id", "left")
     flagged = flagged.select("text", "_block", F.coalesce("_target", F.lit(False)).alias("_target"))
     if not few:
         flagged = flagged.repartition("_block").sortWithinPartitions("_block")
@@ -163,4 +172,5 @@ def score_words(docs: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFr
     others = [c for c in docs.columns if c != "text"]
     kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others], "n_tokens long", *[f"{c} double" for c in NEW[1:]]])
     mine = answers.select("block", "share", "size", "n", "t").groupBy("block")
-    return placed.groupBy("_block").cogroup(mine).applyInArrow(_scorer(others, "text", *totals), kinds)
+    scored = placed.groupBy(block).cogroup(mine).applyInArrow(_scorer(others, "text", *totals), kinds)
+    return scored.withColumnsRenamed({c: was for c, was in zip(docs.columns, named, strict=True) if c != was})

@@ -354,6 +354,10 @@ def test_chat_parts(spark):
     assert got.formatted == "<|turn|>user<|says|>see <\\|image|><|image|><|audio|><|file|><|end|><|turn|>assistant<|says|><|document|><|end|><|turn|>user<|says|><|end|>"
     assert [(a.place, a.type, a.ref, a.tokens) for a in got.attachments] == [(0, "image", "a.png", 10), (1, "audio", "b.wav", 38), (2, "odd", "c", 0), (3, "document", "d.pdf", 1024)]
     assert [got.formatted[s.start : s.start + s.length] for s in got.loss_spans] == ["<|document|>"]
+    odd = [(1, 0, "assistant", [part(None, ref="x", amount=3.0), None, part("text", "t"), part("image", ref="y")])]
+    got = chat.format_chat(spark.createDataFrame(odd, f"conv_id long, turn long, role string, parts {chat.PARTS}")).first()
+    assert got.formatted == "<|turn|>assistant<|says|><|file|><|file|>t<|image|><|end|>"
+    assert [(a.place, a.type, a.ref, a.tokens) for a in got.attachments] == [(0, None, "x", 0), (1, None, None, 0), (2, "image", "y", 0)]
 
 
 # 8

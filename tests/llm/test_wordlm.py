@@ -54,6 +54,16 @@ def test_no_words_and_no_targets(spark):
     assert got[0].loss_target == pytest.approx(math.log(3)) and got[1].loss_target is None
 
 
+def test_scores_keep_clashing_columns(spark, tmp_path):
+    rows = [(1, "a b", 5, True, "m", 7.0), (2, "a c", 6, False, None, 8.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _block int, _target boolean, _metadata string, loss_target double")
+    df.write.parquet(str(tmp_path / "x"))
+    for table in (df, spark.read.parquet(str(tmp_path / "x"))):
+        got = wordlm.score_words(table, spark.createDataFrame([(1,)], "doc_id long"), Scratch(spark, "t5"))
+        assert got.columns == ["doc_id", "_block", "_target", "_metadata", *wordlm.NEW]
+        assert [(r.doc_id, r._block, r._target, r._metadata, r.n_tokens) for r in got.orderBy("doc_id").collect()] == [(1, 5, True, "m", 2), (2, 6, False, None, 2)]
+
+
 def test_phrasing_is_told_apart(spark, tmp_path):
     """Texts of the same words, and so nearly the same letters, in another order."""
     r = random.Random(2)
