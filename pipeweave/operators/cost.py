@@ -28,3 +28,17 @@ def summary(parts: DataFrame) -> DataFrame:
 def ranked(variants: DataFrame) -> DataFrame:
     """Rank by score, cost, length and id; variants are few by definition (profiles of one request)."""
     return variants.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("score", "calculated", "length_m", "variant_id")))
+
+
+def alike(variants: DataFrame) -> DataFrame:
+    """(request, a, b) for each two variants of a request that are no two plans: same roots, lengths less than the
+    greater of 25 m and a tenth of the shorter one apart, and 0.65 or more of their places in common.
+
+    variants: request, variant, length_m, roots and shape (sets, sorted); a request has a handful of variants, its
+    profiles. Two variants without places are alike if the rest is. Fixed values: 25, 0.10, 0.65.
+    """
+    left, right = (variants.select("request", *[F.col(c).alias(c + s) for c in ("variant", "length_m", "roots", "shape")]) for s in "ab")
+    two = left.join(right, "request").where("varianta < variantb AND rootsa <=> rootsb")
+    near = two.where("abs(length_ma - length_mb) < greatest(25, 0.10 * greatest(1, least(length_ma, length_mb)))")
+    common, whole = F.size(F.array_intersect("shapea", "shapeb")), F.size(F.array_union("shapea", "shapeb"))
+    return near.where((whole == 0) | (common / whole >= 0.65)).select("request", F.col("varianta").alias("a"), F.col("variantb").alias("b"))

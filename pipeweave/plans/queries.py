@@ -352,16 +352,6 @@ def attachments_per_chamber(spark, sf_dir):
     return ties.attachments(scene(spark, sf_dir, "g_chamber").select(F.col("ordinal").alias("chamber"), "x", "y"), scene(spark, sf_dir, "g_line"), 0.01)
 
 
-@query(
-    f"WITH {_NEAR}, users AS (SELECT target, ordinal, row_number() OVER (PARTITION BY ordinal ORDER BY target) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance_m, ordinal, seq) AS m FROM near) q WHERE m = 1) SELECT target, ordinal, n <= 4 AS keeps FROM users",
-    "g_target", "g_line",
-)
-def chamber_capacity(spark, sf_dir):
-    """The first four users of a place keep it, by ordinal."""
-    users = ties.nearest_k(_near_lines(spark, sf_dir), "target", 1, "distance_m", "ordinal", "seq").select("target", "ordinal")
-    return users.withColumn("keeps", F.row_number().over(Window.partitionBy("ordinal").orderBy("target")) <= 4)
-
-
 @query(
     f"WITH t AS (SELECT a.ordinal, degrees(acos(greatest(-1.0, least(1.0, ((a.ex - a.ax) * (b.ex - b.ax) + (a.ey - a.ay) * (b.ey - b.ay)) / ({geo.length(tuple('a.' + c for c in S))} * {geo.length(tuple('b.' + c for c in S))}))))) AS turn FROM g_line a JOIN g_line b ON a.ordinal = b.ordinal AND b.seq = a.seq + 1) SELECT ordinal, round(turn, 5) AS turn, turn <= 90.0000001 AS allowed FROM t",
     "g_line",
@@ -768,17 +758,6 @@ def export_wkb(spark, sf_dir):
     return rows.select(F.col("path").alias("ordinal"), F.when(right, "ok").otherwise("broken").alias("state"), count.alias("vertices"))
 
 
-@query(
-    f"WITH {_SUMMED}, s AS (SELECT request, variant_id % 10 AS v, length_m, calculated FROM totals) SELECT a.request, a.v AS a, b.v AS b, abs(a.length_m - b.length_m) <= greatest(25, 0.1 * greatest(a.length_m, b.length_m)) AS near FROM s a JOIN s b ON a.request = b.request AND a.v < b.v",
-    "g_section",
-)
-def variant_distinct(spark, sf_dir):
-    """Pairs of variants of a request, and whether their lengths are near enough to be one."""
-    v = _variants(spark, sf_dir).select("request", F.pmod("variant_id", F.lit(10)).alias("a"), F.col("length_m").alias("la"))
-    w = v.select("request", F.col("a").alias("b"), F.col("la").alias("lb"))
-    return v.join(w, "request").where("a < b").selectExpr("request", "a", "b", "abs(la - lb) <= greatest(25, 0.1 * greatest(la, lb)) AS near")
-
-
 @query(
     "WITH top AS (SELECT max(ts) AS now FROM g_request) SELECT event_id FROM g_request, top WHERE ts < now - INTERVAL 24 HOUR AND (event_type = 'error' OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))", "g_request"
 )
