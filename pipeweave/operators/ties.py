@@ -87,3 +87,12 @@ def attachments(points: DataFrame, lines: DataFrame, tolerance: float) -> DataFr
     end = f"least({geo.distance(P, ('ax', 'ay'))}, {geo.distance(P, ('ex', 'ey'))}) <= {tolerance}"
     counted = near.groupBy("chamber").agg(F.sum(F.expr(f"CASE WHEN {end} THEN 1 ELSE 2 END")).alias("attachments"), F.max("dn").alias("dn"))
     return points.select("chamber").join(counted, "chamber", "left").select("chamber", F.coalesce("attachments", F.lit(0)).alias("attachments"), "dn")
+
+
+def detours(routes: DataFrame, offered: DataFrame) -> DataFrame:
+    """routes with nearest_m, the straight distance to the nearest tie that was offered, and heavy: longer than 1.5 times that and 30 m (fixed values).
+
+    routes: who, length_m; offered: who, distance_m. A route without offered ties has null in both.
+    """
+    nearest = offered.groupBy("who").agg(F.min("distance_m").alias("nearest_m"))
+    return routes.join(nearest, "who", "left").withColumn("heavy", F.expr("length_m > 1.5 * nearest_m + 30"))

@@ -52,12 +52,17 @@ _WISHES = (
 )
 
 
+_PICK = (
+    f"{_WISHES}, asks AS MATERIALIZED (SELECT who, row_number() OVER (ORDER BY who) AS n, list({{'place': place, 'free': free, 'rank': rank}} ORDER BY rank) AS w FROM wish GROUP BY who), "
+    "pick AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS rank UNION ALL "
+    "SELECT n, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.place) END, who, got.place, got.rank FROM "
+    "(SELECT a.n, p.taken, a.who, list_filter(a.w, lambda c: len(list_filter(p.taken, lambda t: t = c.place)) < c.free)[1] AS got FROM pick p JOIN asks a ON a.n = p.n + 1) q) "
+)
+
+
 @query(
     rec(
-        f"{_WISHES}, asks AS MATERIALIZED (SELECT who, row_number() OVER (ORDER BY who) AS n, list({{'place': place, 'free': free, 'rank': rank}} ORDER BY rank) AS w FROM wish GROUP BY who), "
-        "pick AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS rank UNION ALL "
-        "SELECT n, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.place) END, who, got.place, got.rank FROM "
-        "(SELECT a.n, p.taken, a.who, list_filter(a.w, lambda c: len(list_filter(p.taken, lambda t: t = c.place)) < c.free)[1] AS got FROM pick p JOIN asks a ON a.n = p.n + 1) q) "
+        f"{_PICK} "
         "SELECT p.who, p.place, p.rank, round(w.distance_m, 6) AS distance_m FROM pick p JOIN wish w ON w.who = p.who AND w.place = p.place",
         "g_target", "g_line", "g_chamber",
     )
@@ -69,6 +74,21 @@ def chamber_places(spark, sf_dir):
     return got.join(wishes, ["who", "place", "rank"]).selectExpr("who", "place", "rank", *r6("distance_m"))
 
 
+@query(
+    rec(
+        f"{_PICK}, near AS (SELECT who, min(distance_m) AS nearest_m FROM wish WHERE free > 0 GROUP BY who) "
+        "SELECT p.who, round(w.distance_m, 6) AS length_m, round(nearest_m, 6) AS nearest_m, w.distance_m - 30 > nearest_m + nearest_m / 2 AS heavy FROM pick p JOIN wish w ON w.who = p.who AND w.place = p.place JOIN near n ON n.who = p.who",
+        "g_target", "g_line", "g_chamber",
+    )
+)
+def heavy_detour(spark, sf_dir):
+    """Ways to the chambers that targets got, against the nearest one that had room at first."""
+    wishes, free = _wishes(spark, sf_dir)
+    offered = wishes.join(free.where("free > 0"), "place")
+    routes = order.places(wishes, free, ROOM, Scratch(spark, "places")).join(wishes, ["who", "place", "rank"]).select("who", F.col("distance_m").alias("length_m"))
+    return ties.detours(routes, offered).selectExpr("who", *r6("length_m", "nearest_m"), "heavy")
+
+
 @query(rec(f"{_WISHES}, first AS (SELECT who, place, free, row_number() OVER (PARTITION BY place ORDER BY who) AS n FROM wish WHERE rank = 1) SELECT who, place, free, n <= free AS keeps FROM first", "g_target", "g_line", "g_chamber"))
 def chamber_capacity(spark, sf_dir):
     """Of all targets whose nearest chamber is the same, the first keep it, as many as it has room for beside the pipes that meet there."""
