@@ -147,11 +147,11 @@ def near_duplicates(
     schema = "doc_id long, text_id long, n_shingles long, name1 long, name2 long, sketches array<long>"
     signed_ = scratch.keep(given.mapInArrow(_sketch(k, side, rows), schema), "sketches")
 
-    # Equal sets are one, sid. One text of the smallest doc_id stands for it.
+    # Equal sets are one, with a number of its own, sid, which is written with it. One text of the smallest doc_id stands for it.
     names = ["n_shingles", "name1", "name2"]
     full = signed_.where("n_shingles > 0")
     one = F.struct("doc_id", "text_id")
-    first = full.groupBy(names).agg(F.min_by("sketches", one).alias("sketches"), F.min(one).alias("of")).select("*", F.xxhash64(*names).alias("sid"), "of.*").drop("of")
+    first = full.groupBy(names).agg(F.min_by("sketches", one).alias("sketches"), F.min(one).alias("of")).select("*", F.monotonically_increasing_id().alias("sid"), "of.*").drop("of")
     first = scratch.keep(first, "distinct")
     same = full.select("doc_id", *names).join(first.select(*names, F.col("doc_id").alias("first")), names).select("doc_id", "first").where("doc_id <> first")
 
