@@ -190,8 +190,13 @@ def near_duplicates(
     def with_leaders(at: DataFrame) -> DataFrame:
         """Pairs of each set with the first LEADERS of each of its buckets."""
         w = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
-        lead = at.select("key", F.col("sid").alias("other"), F.col("n_shingles").alias("m"), F.col("c").alias("co"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= LEADERS)
-        pairs = at.select("key", "sid", F.col("n_shingles").alias("n"), "c").join(lead, "key").where("c <> co").where(fits)
+        first = at.select("key", F.struct("sid", "n_shingles", "c").alias("l"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= LEADERS)
+        lead = first.groupBy("key").agg(F.array_sort(F.collect_list("l")).alias("leaders"))
+        # A bucket's leaders come as one list, and a set names each of its leaders once, however many buckets they meet in.
+        met = at.select("key", "sid", F.col("n_shingles").alias("n"), "c").join(lead, "key")
+        close = F.expr(f"transform(filter(leaders, l -> l.c <> c AND 100 * least(n, l.n_shingles) >= {threshold} * greatest(n, l.n_shingles)), l -> l.sid)")
+        each = met.select("sid", close.alias("leaders")).where("size(leaders) > 0").groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
+        pairs = each.select("sid", F.explode("leaders").alias("other"))
         return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
     def by_rarest(at: DataFrame) -> DataFrame:
