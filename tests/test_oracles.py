@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from pipeweave.plans import inorder, planning, shapes  # noqa: F401  add their queries to the registry
+from pipeweave.plans import corridors, inorder, planning, shapes  # noqa: F401  add their queries to the registry
 from pipeweave.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
