@@ -19,8 +19,11 @@ def cost_identity(lines: DataFrame, dn_rows: DataFrame) -> DataFrame:
 
 
 def summaries(variants: DataFrame) -> DataFrame:
-    """Variants whose sums or score do not add up. variants: variant_id, network, chambers, ties, penalty, calculated, length_m, score."""
-    off = lambda a, b: f"abs({a} - ({b})) > greatest(0.01, 1e-9 * abs({b}))"
+    """Variants whose sums or score do not add up. variants: variant_id, network, chambers, ties, penalty, calculated, length_m, score.
+
+    A sum may be off by a cent, and by what doubles round in adding four numbers; no more, or large plans would hide errors.
+    """
+    off = lambda a, b: f"abs({a} - ({b})) > greatest(0.01, 1e-14 * abs({b}))"
     total = "network + chambers + ties + penalty"
     wrong = F.concat_ws(",", F.when(F.expr(off("calculated", total)), "calculated"), F.when(F.expr(f"abs(score - ({rules.score('calculated', 'length_m')})) > 1e-6"), "score"))
     return variants.select("variant_id", wrong.alias("wrong")).where("wrong <> ''")
