@@ -111,3 +111,18 @@ def cut_at_knots(sections: DataFrame, knots: DataFrame, key: str) -> DataFrame:
     f, t = F.greatest("from_m", "_f"), F.least("to_m", "_t")
     depth = lambda at: F.col("_a") + (at - F.col("_f")) / (F.col("_t") - F.col("_f")) * (F.col("_b") - F.col("_a"))
     return both.select(key, f.alias("from_m"), t.alias("to_m"), "coefficient", ((depth(f) + depth(t)) / 2).alias("depth_m")).where("to_m - from_m > 1e-6")
+
+
+def pieces_at_knots(edges: DataFrame, knots: DataFrame, key: str) -> DataFrame:
+    """key and pieces, an array of (from_m, to_m, coefficient, depth_m): sections cut at the knots of a depth profile, with the mean depth of each piece.
+
+    edges: key, sections (an array of from_m, to_m, coefficient, in order); knots: key, at_m, depth_m. An edge has a few of either, so both come as arrays,
+    an edge in a row. Edges without sections or without two knots have no row.
+    """
+    spans = knots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at_m", "depth_m"))).alias("_k"))
+    both = edges.join(spans, key)
+    span = "filter(transform(_k, (k, i) -> struct(k.at_m AS f, k.depth_m AS a, get(_k, i + 1).at_m AS t, get(_k, i + 1).depth_m AS b)), k -> k.t > k.f)"
+    met = f"flatten(transform(sections, s -> transform(filter({span}, k -> s.from_m < k.t AND s.to_m > k.f), k -> struct(greatest(s.from_m, k.f) AS from_m, least(s.to_m, k.t) AS to_m, s.coefficient AS coefficient, k.f AS f, k.a AS a, k.t AS t, k.b AS b))))"
+    depth = lambda at: f"(k.a + ({at} - k.f) / (k.t - k.f) * (k.b - k.a))"
+    pieces = f"transform(filter({met}, k -> k.to_m - k.from_m > 1e-6), k -> struct(k.from_m AS from_m, k.to_m AS to_m, k.coefficient AS coefficient, ({depth('k.from_m')} + {depth('k.to_m')}) / 2 AS depth_m))"
+    return both.select(key, F.expr(pieces).alias("pieces")).where("size(pieces) > 0")

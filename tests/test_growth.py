@@ -18,3 +18,24 @@ def test_near_join_broadcasts_neither_side(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     want = sorted((i, j) for i, x, y in a for j, u, v in b if abs(x - u) <= 150 and abs(y - v) <= 150)
     assert sorted((r.i, r.j) for r in out.collect()) == want
+
+
+def test_errors_of_large_plans_are_found(spark):
+    from pipeweave.functions import rules
+    from pipeweave.operators import validate
+
+    rows = spark.createDataFrame([(1, 3e11, 0.0), (2, 3e11, 5.0), (3, 2e12, 5.0)], "variant_id long, network double, more double")
+    sums = rows.selectExpr("variant_id", "network", "1e6D AS chambers", "2e5D AS ties", "3e4D AS penalty", "1e6D AS length_m", "more").withColumn("calculated", F.expr("network + chambers + ties + penalty"))
+    given = sums.withColumn("score", F.expr(rules.score("calculated", "length_m"))).withColumn("calculated", F.expr("calculated + more"))
+    assert [tuple(r) for r in validate.summaries(given).orderBy("variant_id").collect()] == [(2, "calculated"), (3, "calculated")]
+
+
+def test_sections_need_one_shuffle_and_no_join(spark):
+    from pipeweave.operators import restrict
+
+    rows = spark.createDataFrame([(1, 1, 2.0, 8.0, 1.2, 10.0), (1, 2, 5.0, 20.0, 1.6, 10.0), (2, 7, -3.0, 0.0, 1.2, 4.0)], "edge_id long, passage int, from_m double, to_m double, k double, length_m double")
+    found = restrict.sections(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    want = [(1, 0.0, 2.0, 1.0, 0, -1), (1, 2.0, 5.0, 1.2, 1, 1), (1, 5.0, 8.0, 1.6, 2, 1), (1, 8.0, 10.0, 1.6, 1, 2), (2, 0.0, 4.0, 1.0, 0, -1)]
+    assert sorted(tuple(r) for r in found.collect()) == want
