@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pipeweave.functions.rules import LEAST_DEPTH, NORMAL_DEPTH, SLOPE
+from pipeweave.operators.cells import dealt
 
 
 def factor(h: np.ndarray) -> np.ndarray:
@@ -49,12 +53,54 @@ def profile(at: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return out
 
 
+def profile_all(at: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: float = 0.1, bias: float = 1e-7) -> np.ndarray:
+    """profile() of many pipes of as many stations, a pipe in a row, whose levels are the same; a row of NaN where there is none. Only levels that one part's slope can reach are compared."""
+    top = max(float(np.max(np.where(np.isfinite(hi), hi, lo))), NORMAL_DEPTH) + step
+    levels = np.unique(np.round(np.concatenate((np.arange(LEAST_DEPTH, top + step / 2, step), lo.ravel(), hi[np.isfinite(hi)], [NORMAL_DEPTH])), 6))
+    n, (pipes, stations) = len(levels), at.shape
+    fits = lambda i: (levels >= lo[:, i, None] - 1e-9) & (levels <= hi[:, i, None] + 1e-9)
+    mean = ramp(levels[:, None], levels[None])
+    pull = (np.abs(levels[:, None] - NORMAL_DEPTH) + np.abs(levels[None] - NORMAL_DEPTH)) / 2
+    rise, unit = np.abs(levels[:, None] - levels[None]), mean + bias * pull
+    cost, back = np.where(fits(0), 0.0, np.inf), np.zeros((stations, pipes, n), dtype=np.int16)
+    for i in range(1, stations):
+        d = (at[:, i] - at[:, i - 1])[:, None]
+        near = np.nonzero(rise <= SLOPE * d.max(initial=0.0) + 1e-9)
+        best = np.full((pipes, n), np.inf)
+        for k in np.unique(near[0] - near[1]).tolist():  # from the shallowest level on, as argmin takes the first of equal ones
+            to = np.arange(max(0, -k), min(n, n - k))
+            come = to + k
+            new = np.where(rise[come, to] <= SLOPE * d + 1e-9, cost[:, come] + d * weight[:, i, None] * unit[come, to], np.inf)
+            less = new < best[:, to]
+            best[:, to] = np.where(less, new, best[:, to])
+            back[i][:, to] = np.where(less, come, back[i][:, to])
+        cost = np.where(fits(i), best, np.inf)
+    k, rows, out = cost.argmin(axis=1), np.arange(pipes), np.empty(at.shape)
+    none = ~np.isfinite(cost).any(axis=1)
+    for i in range(stations - 1, -1, -1):
+        out[:, i] = levels[k]
+        k = back[i][rows, k]
+    out[none] = np.nan
+    return out
+
+
 def profiles(stations: DataFrame) -> DataFrame:
-    """edge_id, at_m, depth. stations: edge_id, at_m, weight, lo, hi (infinity where open). One group is one pipe, of some hundred stations."""
+    """edge_id, at_m, depth. stations: edge_id, at_m, weight, lo, hi (infinity where open), of some hundred to a pipe. Pipes of as many stations and of the same bounds are computed side by side."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at_m")
-        h = profile(*(rows[c].to_numpy(dtype=float) for c in ("at_m", "weight", "lo", "hi")))
-        return pd.DataFrame({"edge_id": rows["edge_id"], "at_m": rows["at_m"], "depth": np.nan if h is None else h})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many, kinds = batch.column(1).value_lengths().to_numpy(), {}
+            columns = [batch.column(1).flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at_m", "weight", "lo", "hi")]
+            starts, depth = np.cumsum(many) - many, np.empty(len(columns[0]))
+            for row, (a, n) in enumerate(zip(starts.tolist(), many.tolist(), strict=True)):
+                bounds = np.concatenate([np.unique(c[a : a + n]) for c in columns[2:]])
+                kinds.setdefault((n, bounds.tobytes()), []).append(row)
+            for (n, _), alike in kinds.items():
+                for part in (alike[i : i + 256] for i in range(0, len(alike), 256)):  # bounds what is held
+                    each = starts[part][:, None] + np.arange(n)
+                    depth[each] = profile_all(*(c[each] for c in columns))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(columns[0]), pa.array(depth)], ["edge_id", "at_m", "depth"])
 
-    return stations.groupBy("edge_id").applyInPandas(run, "edge_id long, at_m double, depth double")
+    one = F.struct(*[F.col(c).cast("double").alias(c) for c in ("at_m", "weight", "lo", "hi")])
+    whole = stations.groupBy("edge_id").agg(F.sort_array(F.collect_list(one)).alias("s"))
+    return dealt(whole, "edge_id").mapInArrow(run, "edge_id long, at_m double, depth double")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.operators.cells import near_join
+from pipeweave.operators.cells import dealt, near_join
 from pipeweave.operators.graph import Inconclusive
 from pipeweave.operators.restrict import B
 
@@ -44,35 +44,46 @@ def _free(rows: pd.DataFrame, reach: float, cell: float) -> np.ndarray:
 
 
 def flood(free: np.ndarray) -> np.ndarray:
-    """The free cells that hang together with the middle, over eight neighbours."""
-    seen = np.zeros_like(free)
-    seen[free.shape[0] // 2, free.shape[1] // 2] = True
+    """The free cells that hang together with the middle, over eight neighbours. Cells are the bits of one number, with a closed column beside each row, so that a step is a few shifts."""
+    n, m = free.shape
+    wide = m + 1
+    bits = np.zeros((n, wide), dtype=bool)
+    bits[:, :m] = free
+    open_ = int.from_bytes(np.packbits(bits, axis=None, bitorder="little").tobytes(), "little")
+    seen = 1 << (n // 2 * wide + m // 2)
     while True:
-        p = np.pad(seen, 1)
-        near = np.zeros_like(seen)
-        for i in range(3):
-            for j in range(3):
-                near |= p[i : i + seen.shape[0], j : j + seen.shape[1]]
-        new = near & free
-        if (new == seen).all():
-            return seen
+        row = seen | seen << 1 | seen >> 1
+        new = (row | row << wide | row >> wide) & open_ | seen
+        if new == seen:
+            break
         seen = new
+    out = np.unpackbits(np.frombuffer(seen.to_bytes((n * wide + 7) // 8, "little"), dtype=np.uint8), bitorder="little")[: n * wide]
+    return out.reshape(n, wide)[:, :m].astype(bool)
 
 
-def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000) -> list[tuple[int, int]] | None:
+def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000, guided: bool = False) -> list[tuple[int, int]] | None:
     """The shortest way from the middle to a goal cell, turning by 90 degrees at most and cutting no corner; None if there is none.
 
-    Among equal ways the one whose states were queued first wins. Inconclusive after `most` states.
+    Among equal ways the one whose states were queued first wins. Inconclusive after `most` states. A guided search looks at the states first whose way so far and least way on
+    to the goals are shortest: ways have the same length, and as many steps, since no two numbers of straight and of diagonal steps have one length.
     """
     n = free.shape[0] // 2
-    queue: list[tuple[float, int, int, int, int]] = [(0.0, 0, n, n, -1)]
+    ahead = np.zeros(free.shape)
+    if guided and goals.any():
+        i, j = np.nonzero(goals)
+        u, v = (np.maximum(0, np.maximum(a.min() - np.arange(size), np.arange(size) - a.max())) for a, size in zip((i, j), free.shape, strict=True))
+        ahead = np.maximum(u[:, None], v[None]) + 0.4142135623730951 * np.minimum(u[:, None], v[None])
+    ahead, free, goals = ahead.tolist(), free.tolist(), goals.tolist()
+    rows, columns = len(free), len(free[0])
+    queue: list[tuple[float, float, int, int, int, int]] = [(ahead[n][n], 0.0, 0, n, n, -1)]
     best, back, count = {(n, n, -1): 0.0}, {}, 0
     while queue and count < most:
-        d, _, i, j, way = heapq.heappop(queue)
+        _, d, _, i, j, way = heapq.heappop(queue)
+        d = -d if guided else d
         if d > best[i, j, way]:
             continue
         count += 1
-        if goals[i, j]:
+        if goals[i][j]:
             out, at = [(i, j)], (i, j, way)
             while at in back:
                 at = back[at]
@@ -82,13 +93,13 @@ def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000) -> list[tuple
             if way >= 0 and min((k - way) % 8, (way - k) % 8) > 2:
                 continue
             u, v = i + a, j + b
-            if not (0 <= u < free.shape[0] and 0 <= v < free.shape[1]) or not free[u, v] or a and b and not (free[i, v] and free[u, j]):
+            if not (0 <= u < rows and 0 <= v < columns) or not free[u][v] or a and b and not (free[i][v] and free[u][j]):
                 continue
             new = d + (1.4142135623730951 if a and b else 1.0)
             if new < best.get((u, v, k), np.inf) - 1e-9:
                 best[u, v, k] = new
                 back[u, v, k] = (i, j, way)
-                heapq.heappush(queue, (new, len(best), u, v, k))
+                heapq.heappush(queue, (new + ahead[u][v], -new if guided else new, len(best), u, v, k))
     if queue:
         raise Inconclusive
     return None
@@ -102,7 +113,7 @@ def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 1.0) -> Dat
         open_ = seen[0].any() or seen[-1].any() or seen[:, 0].any() or seen[:, -1].any()
         return pd.DataFrame({"target": [rows["target"].iloc[0]], "enclosed": [not open_], "cells": [int(seen.sum())]})
 
-    return scenes.groupBy("target").applyInPandas(run, "target long, enclosed boolean, cells long")
+    return dealt(scenes, "target").groupBy("target").applyInPandas(run, "target long, enclosed boolean, cells long")
 
 
 def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
@@ -117,14 +128,14 @@ def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float =
             goals[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2] = True
         try:
             goals &= flood(free)  # what the flood does not reach needs no search
-            way, status = (walk(free, goals) if goals.any() else None), "SEARCH_INCOMPLETE"
+            way, status = (walk(free, goals, guided=True) if goals.any() else None), "SEARCH_INCOMPLETE"
         except Inconclusive:
             way, status = None, "SEARCH_INCOMPLETE"
         status = status if way is None else "FOUND"
         length = None if way is None else sum(float(np.hypot(a - c, b - d)) for (a, b), (c, d) in zip(way, way[1:], strict=False)) * cell
         return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [length], "steps": [0 if way is None else len(way) - 1]})
 
-    return scenes.join(ties.select("target", "tx", "ty"), "target", "left").groupBy("target").applyInPandas(run, "target long, status string, length_m double, steps long")
+    return dealt(scenes.join(ties.select("target", "tx", "ty"), "target", "left"), "target").groupBy("target").applyInPandas(run, "target long, status string, length_m double, steps long")
 
 
 def turns_ok(points: DataFrame) -> DataFrame:

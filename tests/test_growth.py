@@ -39,3 +39,67 @@ def test_sections_need_one_shuffle_and_no_join(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
     want = [(1, 0.0, 2.0, 1.0, 0, -1), (1, 2.0, 5.0, 1.2, 1, 1), (1, 5.0, 8.0, 1.6, 2, 1), (1, 8.0, 10.0, 1.6, 1, 2), (2, 0.0, 4.0, 1.0, 0, -1)]
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_targets_of_one_place_are_searched_once(spark):
+    from pipeweave.operators.cells import per_place
+
+    rows = [(7, 1.0, 2.0), (3, 1.0, 2.0), (5, 4.0, 4.0), (6, None, 4.0), (2, None, 4.0)]
+    seen = []
+
+    def search(at):
+        seen.append(sorted(r.target for r in at.collect()))
+        return at.withColumn("found", F.col("target") * 10).select("target", "found")
+
+    got = per_place(spark.createDataFrame(rows, "target long, x double, y double"), search)
+    assert sorted(map(tuple, got.collect())) == [(2, 20), (3, 30), (5, 50), (6, 20), (7, 30)] and seen == [[2, 3, 5]]
+
+
+def test_guided_walks_are_as_short_and_look_at_few_states():
+    from pipeweave.operators import search
+
+    rnd = np.random.default_rng(4)
+    for share in (0.0, 0.2, 0.35):
+        free = rnd.random((41, 41)) >= share
+        free[20, 20] = True
+        goals = np.zeros_like(free)
+        goals[1:4, 3:6] = True
+        goals &= search.flood(free)
+        ways = [search.walk(free, goals, guided=g) for g in (False, True)]
+        size = [w and (len(w), round(sum(math.dist(a, b) for a, b in zip(w, w[1:], strict=False)), 6)) for w in ways]
+        assert size[0] == size[1]
+        if share == 0.0:
+            assert search.walk(free, goals, most=60, guided=True)
+
+
+def test_flood_over_corners_and_edges():
+    from pipeweave.operators import search
+
+    free = np.zeros((5, 7), dtype=bool)
+    free[[2, 1, 0], [3, 4, 5]] = True  # on by corners
+    free[0, 6] = free[1, 0] = True  # the end of one row does not touch the start of the next
+    assert search.flood(free).sum() == 4 and not search.flood(free)[1, 0]
+
+
+def test_profiles_side_by_side_equal_single_ones():
+    from pipeweave.operators.depth import profile, profile_all
+
+    rnd = np.random.default_rng(6)
+    at = np.sort(rnd.uniform(0, 40, (12, 50)), axis=1)
+    weight = rnd.choice([1.0, 1.25, 1.6], at.shape)
+    weight[:, 0] = 1.25
+    weight[:, 1] = 1.0
+    lo, hi = np.full(at.shape, 0.7), np.where(weight == 1.25, 2.42, np.inf)
+    lo[4, 9] = 0.7 if hi[4, 9] > 3 else 0.8
+    rows = [i for i in range(12) if i != 4 or lo[4].max() == 0.7]
+    found = profile_all(at[rows], weight[rows], lo[rows], hi[rows])
+    for i, h in zip(rows, found, strict=True):
+        alone = profile(at[i], weight[i], lo[i], hi[i])
+        assert np.array_equal(h, np.full(50, np.nan) if alone is None else alone, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["flood_enclosure", "grid_walk"])
+def test_searches_group_by_place(spark, name):
+    from pipeweave.plans.queries import QUERIES
+
+    assert "_place" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
