@@ -7,11 +7,15 @@ window of the search bounds. A target in a dense quarter costs more, never the o
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pipeweave.operators.cells import dealt, near_join
 from pipeweave.operators.graph import Inconclusive
@@ -29,20 +33,33 @@ def scenes_of(targets: DataFrame, obstacles: DataFrame, reach: float) -> DataFra
     return targets.select("target", "x", "y").join(near, "target", "left")
 
 
-def _free(rows: pd.DataFrame, reach: float, cell: float) -> np.ndarray:
+def _free(x: float, y: float, boxes: list[dict], reach: float, cell: float) -> np.ndarray:
     """Which cells of the window around the target have their middle outside of all boxes, widened by their clearance less SHRINK; the target's own is free."""
     n = int(2 * reach / cell) + 1
     free = np.ones((n, n), dtype=bool)
-    x, y = rows["x"].iloc[0] - reach, rows["y"].iloc[0] - reach
-    for r in rows.dropna(subset=["x0"]).itertuples():
-        wide = max(0.0, r.keep - SHRINK)
-        i0, j0 = (int(np.clip(np.ceil((v - wide - at) / cell - 0.5), 0, n)) for v, at in ((r.x0, x), (r.y0, y)))
-        i1, j1 = (int(np.clip(np.floor((v + wide - at) / cell - 0.5) + 1, 0, n)) for v, at in ((r.x1, x), (r.y1, y)))
+    at = lambda v: int(min(max(v, 0), n))
+    for r in boxes:
+        wide = max(0.0, r["keep"] - SHRINK)
+        i0, j0 = (at(math.ceil((v - wide - o) / cell - 0.5)) for v, o in ((r["x0"], x - reach), (r["y0"], y - reach)))
+        i1, j1 = (at(math.floor((v + wide - o) / cell - 0.5) + 1) for v, o in ((r["x1"], x - reach), (r["y1"], y - reach)))
         free[i0:i1, j0:j1] = False
     free[n // 2, n // 2] = True
     return free
 
 
+def _each(scenes: DataFrame, more: list[str], find, schema: str) -> DataFrame:
+    """What find makes of each target: a row with x, y, the columns of more and the list of its boxes, which the window bounds."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    box = F.when(F.col("x0").isNotNull(), F.struct(*B, "keep"))
+    whole = scenes.groupBy("target").agg(*[F.first(c).alias(c) for c in ("x", "y", *more)], F.collect_list(box).alias("boxes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{"target": r["target"], **find(r)} for r in batch.to_pylist()], arrow)
+
+    return dealt(whole, "target").mapInArrow(run, schema)
+
+
 def flood(free: np.ndarray) -> np.ndarray:
     """The free cells that hang together with the middle, over eight neighbours. Cells are the bits of one number, with a closed column beside each row, so that a step is a few shifts."""
     n, m = free.shape
@@ -108,34 +125,36 @@ def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000, guided: bool
 def enclosures(scenes: DataFrame, reach: float = 60.0, cell: float = 1.0) -> DataFrame:
     """target, enclosed (the flood does not reach the edge of the window), cells it reached."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seen = flood(_free(rows, reach, cell))
+    def find(r: dict) -> dict:
+        seen = flood(_free(r["x"], r["y"], r["boxes"], reach, cell))
         open_ = seen[0].any() or seen[-1].any() or seen[:, 0].any() or seen[:, -1].any()
-        return pd.DataFrame({"target": [rows["target"].iloc[0]], "enclosed": [not open_], "cells": [int(seen.sum())]})
+        return {"enclosed": not open_, "cells": int(seen.sum())}
 
-    return dealt(scenes, "target").groupBy("target").applyInPandas(run, "target long, enclosed boolean, cells long")
+    return _each(scenes, [], find, "target long, enclosed boolean, cells long")
 
 
 def walks(scenes: DataFrame, ties: DataFrame, reach: float = 60.0, cell: float = 2.0) -> DataFrame:
     """target, status, length_m, steps of the grid way to the tie (target, tx, ty) of every target: FOUND, or SEARCH_INCOMPLETE, as the window is no proof that there is no way."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        free = _free(rows, reach, cell)
+    def find(r: dict) -> dict:
+        none = {"status": "SEARCH_INCOMPLETE", "length_m": None, "steps": 0}
+        if r["tx"] is None or r["ty"] is None:
+            return none
+        free = _free(r["x"], r["y"], r["boxes"], reach, cell)
         goals = np.zeros_like(free)
-        near = rows[["tx", "ty"]].iloc[0].notna().all()
-        i, j = (int(np.floor((rows[t].iloc[0] - rows[c].iloc[0] + reach) / cell)) if near else -1 for t, c in (("tx", "x"), ("ty", "y")))
+        i, j = (math.floor((r[t] - r[c] + reach) / cell) for t, c in (("tx", "x"), ("ty", "y")))
         if 0 <= i < len(free) and 0 <= j < len(free):
             goals[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2] = True
         try:
             goals &= flood(free)  # what the flood does not reach needs no search
-            way, status = (walk(free, goals, guided=True) if goals.any() else None), "SEARCH_INCOMPLETE"
+            way = walk(free, goals, guided=True) if goals.any() else None
         except Inconclusive:
-            way, status = None, "SEARCH_INCOMPLETE"
-        status = status if way is None else "FOUND"
-        length = None if way is None else sum(float(np.hypot(a - c, b - d)) for (a, b), (c, d) in zip(way, way[1:], strict=False)) * cell
-        return pd.DataFrame({"target": [rows["target"].iloc[0]], "status": [status], "length_m": [length], "steps": [0 if way is None else len(way) - 1]})
+            way = None
+        if way is None:
+            return none
+        return {"status": "FOUND", "length_m": sum(math.hypot(a - c, b - d) for (a, b), (c, d) in zip(way, way[1:], strict=False)) * cell, "steps": len(way) - 1}
 
-    return dealt(scenes.join(ties.select("target", "tx", "ty"), "target", "left"), "target").groupBy("target").applyInPandas(run, "target long, status string, length_m double, steps long")
+    return _each(scenes.join(ties.select("target", "tx", "ty"), "target", "left"), ["tx", "ty"], find, "target long, status string, length_m double, steps long")
 
 
 def turns_ok(points: DataFrame) -> DataFrame:
