@@ -116,7 +116,7 @@ def walk(free: np.ndarray, goals: np.ndarray, most: int = 300_000, guided: bool
             if new < best.get((u, v, k), np.inf) - 1e-9:
                 best[u, v, k] = new
                 back[u, v, k] = (i, j, way)
-                heapq.heappush(queue, (new + ahead[u][v], -new if guided else new, len(best), u, v, k))
+                heapq.heappush(queue, (round(new + ahead[u][v], 9) if guided else new, -new if guided else new, len(best), u, v, k))
     if queue:
         raise Inconclusive
     return None
