@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipeweave.functions.rules import LEAST_DEPTH, NORMAL_DEPTH, SLOPE, allowed_depths
+from pipeweave.operators.cells import dealt as dealt_by
 from pipeweave.operators.depth import factor, ramp
 from pipeweave.operators.network import chains
 from pipeweave.storage import Scratch
@@ -73,8 +74,13 @@ class Edge:
                 special += [False] * len(new)
         self.at, self.special = np.array(at), np.array(special, dtype=bool)
         mid = (self.at[1:] + self.at[:-1]) / 2
-        self.weight = self.rate * np.array([max([1.0, *[k for f, t, k, _, _ in self.sections if f < m < t]]) for m in mid])
-        self.within = [[s for f, t, _, _, sets in self.sections if f < m < t for s in sets] for m in mid]
+        f, to, k = (np.array([s[i] for s in self.sections], dtype=float)[:, None] for i in range(3))
+        on = (f < mid) & (mid < to)  # sections by steps
+        self.weight = self.rate * np.where(on, k, 1.0).max(axis=0, initial=1.0)
+        self.within = [[] for _ in mid]
+        for s, steps in zip(self.sections, on, strict=True):
+            for i in np.flatnonzero(steps).tolist() if s[4] else ():
+                self.within[i] += s[4]
 
     def _bounds(self, x: float) -> set[float]:
         """Levels that the passages at x set."""
@@ -100,7 +106,7 @@ class Levels:
     """Depth levels, with the moves between them by how far a step may go."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.h, self._moves = values, {}
+        self.h, self._moves, self._steps, self._starts = values, {}, {}, {}
 
     def moves(self, reach: float):
         """For each level the levels within reach, with the mean depth coefficient and the mean distance from the normal depth of the ramp there."""
@@ -116,22 +122,39 @@ class Levels:
             self._moves[key] = to, fits, ramp(np.broadcast_to(a, b.shape), b), (np.abs(a - NORMAL_DEPTH) + np.abs(b - NORMAL_DEPTH)) / 2
         return self._moves[key]
 
+    def step(self, d: float, weight: float, rate: float, sets: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """For each level the levels that a step of d metres leads to, and what it costs; infinite where it leads nowhere. sets: intervals, a straight ramp stays in one of each."""
+        key = d, weight, rate, sets
+        if key not in self._steps:
+            if len(self._steps) > 4096:
+                self._steps.clear()
+            to, fits, mean, pull = self.moves(SLOPE * d)
+            cost = np.where(fits, d * (weight * mean + rate * PULL * pull), np.inf)
+            for s in sets:
+                cost = np.where(np.any([_inside(self.h, i)[:, None] & _inside(self.h, i)[to] for i in s], axis=0), cost, np.inf)
+            self._steps[key] = to, cost
+        return self._steps[key]
+
+    def starts(self, shape: tuple[int, int]) -> np.ndarray:
+        """Where the rows of an array of this shape begin in its values."""
+        if shape not in self._starts:
+            self._starts[shape] = np.arange(shape[0]) * shape[1]
+        return self._starts[shape]
+
 
 def backward(edge: Edge, below: np.ndarray, levels: Levels) -> tuple[np.ndarray, list[np.ndarray]]:
     """The least cost of the pipe and all below for each level of its upper end, and the level to go to from each level of each station."""
     masks = edge.masks(levels.h)
+    free, d, weight = masks.all(axis=1).tolist(), np.diff(edge.at).tolist(), edge.weight.tolist()
     cost, choice = np.where(masks[-1], below, np.inf), []
-    for k in range(len(edge.at) - 2, -1, -1):
-        d = edge.at[k + 1] - edge.at[k]
-        to, fits, mean, pull = levels.moves(SLOPE * d)
-        total = np.where(fits, cost[to] + d * (edge.weight[k] * mean + edge.rate * PULL * pull), np.inf)
-        if edge.special[k]:
-            for s in edge.within[k]:  # a straight ramp stays in one interval
-                total = np.where(np.any([_inside(levels.h, i)[:, None] & _inside(levels.h, i)[to] for i in s], axis=0), total, np.inf)
-        best = total.argmin(axis=1)
-        rows = np.arange(len(best))
-        cost = np.where(masks[k], total[rows, best], np.inf)
-        choice.append(to[rows, best])
+    for k in range(len(d) - 1, -1, -1):
+        to, step = levels.step(d[k], weight[k], edge.rate, tuple(map(tuple, edge.within[k])) if edge.special[k] else ())
+        total = cost[to] + step
+        best = total.argmin(axis=1) + levels.starts(total.shape)
+        cost = total.ravel()[best]
+        if not free[k]:
+            cost = np.where(masks[k], cost, np.inf)
+        choice.append(to.ravel()[best])
     return cost, choice[::-1]
 
 
@@ -261,7 +284,7 @@ def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float | None = None,
     scratch = Scratch(pipes.sparkSession, "depths")
     pipes = pipes.select("node", "parent", F.col("length_m").cast("double").alias("length_m"), F.col("rate").cast("double").alias("rate"), F.col("height").cast("double").alias("height"), F.col("sections").cast(f"array<{SECTION}>").alias("sections"))
     pipes = scratch.keep(pipes, "pipes")
-    surveyed = scratch.keep(pipes.mapInArrow(_survey(step), "stations long, critical array<double>"), "survey")
+    surveyed = scratch.keep(dealt_by(pipes, "node").mapInArrow(_survey(step), "stations long, critical array<double>"), "survey")
     stations = surveyed.agg(F.sum("stations")).first()[0] or 0
     critical = {r[0] for r in surveyed.select(F.explode("critical").alias("v")).distinct().collect()}
     grid = grid or grid_for(stations)
