@@ -1,13 +1,18 @@
 """Decisions on segments against obstacles of any shape: lines, polygons with holes, several parts.
 
 An obstacle's part is one row with its edges, an array of (cx, cy, dx, dy). Pairs of segments and parts come
-from a join on cells; all else is higher-order functions over the edges of one part.
+from a join on cells and are measured in Arrow batches; all else is higher-order functions over the edges of one part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pipeweave.functions import rules
 from pipeweave.operators.cells import near_join
@@ -56,38 +61,111 @@ _CROSS = "((ex - ax) * (e.dy - e.cy) - (ey - ay) * (e.dx - e.cx))"
 _S = f"(((e.cx - ax) * (e.dy - e.cy) - (e.cy - ay) * (e.dx - e.cx)) / nullif({_CROSS}, 0.0))"
 _T = f"(((e.cx - ax) * (ey - ay) - (e.cy - ay) * (ex - ax)) / nullif({_CROSS}, 0.0))"
 _MEETS = f"coalesce({_S} BETWEEN -1e-12 AND 1 + 1e-12 AND {_T} BETWEEN -1e-12 AND 1 + 1e-12, false)"
-#: Where the segment meets each edge: a point, or for an edge along the segment the ends of what they share.
-_HITS = (
-    f"flatten(transform(edges, e -> CASE WHEN {_MEETS} THEN array(least(_len, greatest(0.0, {_S} * _len))) "
-    f"WHEN abs({_CROSS}) > 1e-9 THEN array() ELSE transform(filter(array(struct(e.cx AS x, e.cy AS y), struct(e.dx AS x, e.dy AS y)), p -> {_off('p.x', 'p.y')} <= {EPS}), p -> {_along('p.x', 'p.y')}) "
-    f"|| CASE WHEN {to_edge('ax', 'ay')} <= {EPS} THEN array(0.0) ELSE array() END || CASE WHEN {to_edge('ex', 'ey')} <= {EPS} THEN array(_len) ELSE array() END END))"
-)
 _EDGE_DISTANCE = (
     f"array_min(transform(edges, e -> CASE WHEN {_MEETS} THEN 0.0 ELSE least({to_edge('ax', 'ay')}, {to_edge('ex', 'ey')}, {_off('e.cx', 'e.cy')}, {_off('e.dx', 'e.dy')}) END))"
 )
 _AT = ("(ax + {m} / nullif(_len, 0.0) * (ex - ax))", "(ay + {m} / nullif(_len, 0.0) * (ey - ay))")
 
 
+PIECE = "struct<f: double, t: double>"
+
+
 def measured(pairs: DataFrame) -> DataFrame:
-    """Adds pieces to pairs with _len and _hits: where the segment is in or on the part, as f and t in metres, in order.
+    """pairs within REACH with _len, distance_m and pieces: where the segment is in or on the part, as f and t in metres, in order.
 
     Of a polygon, pieces are the runs between cuts that lie inside, next ones joined, and touches by points;
-    of a line they are its cuts, of no length.
+    of a line they are its cuts, of no length. Map only, all edges of an Arrow batch at once.
     """
-    at = pairs.withColumn("_cuts", F.expr("array_sort(array_distinct(concat(array(0.0, _len), _hits)))"))
-    mid_x, mid_y = (x.format(m="((f + t) / 2)") for x in _AT)
-    steps = f"filter(transform(slice(_cuts, 1, size(_cuts) - 1), (f, i) -> struct(f AS f, _cuts[i + 1] AS t)), p -> p.t - p.f > {EPS})"
-    within = f"filter({steps}, p -> {inside(mid_x, mid_y).replace('(f + t)', '(p.f + p.t)')})"
-    at = at.withColumn("_in", F.expr(f"CASE WHEN polygonal AND size(_cuts) > 1 THEN {within} ELSE array() END"))
-    def joined(x: str) -> str:
-        """Runs that follow each other without a gap are one."""
-        starts = f"filter(transform({x}, (p, i) -> CASE WHEN i = 0 OR p.f - get({x}, i - 1).t > {EPS} THEN p.f END), v -> v IS NOT NULL)"
-        ends = f"filter(transform({x}, (p, i) -> CASE WHEN i = size({x}) - 1 OR get({x}, i + 1).f - p.t > {EPS} THEN p.t END), v -> v IS NOT NULL)"
-        return f"zip_with({starts}, {ends}, (f, t) -> struct(f AS f, t AS t))"
-
-    at = at.withColumn("_in", F.expr(f"transform(array(_in), r -> {joined('r')})[0]"))
-    points = f"transform(filter(_hits, h -> NOT exists(r, p -> h >= p.f - {EPS} AND h <= p.t + {EPS})), h -> struct(h AS f, h AS t))"
-    return at.withColumn("pieces", F.expr(f"transform(array(_in), r -> array_sort(concat(r, {points})))[0]")).drop("_cuts", "_in")
+    new = "_len double, distance_m double, pieces array<" + PIECE + ">"
+    return pairs.mapInArrow(_measure, StructType([*pairs.schema.fields, *StructType.fromDDL(new).fields]))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            yield from _measured(batch)
+
+
+def _measured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    col = lambda name: batch.column(batch.schema.get_field_index(name))
+    edges, polygonal = col("edges"), col("polygonal").to_numpy(zero_copy_only=False).astype(bool)
+    many, each = edges.value_lengths().to_numpy(), edges.flatten()
+    row, first = np.repeat(np.arange(len(many)), many), np.cumsum(many) - many
+    cx, cy, dx, dy = (_numbers(each.field(c)) for c in EDGE)
+    ax, ay, ex, ey = (_numbers(col(c)) for c in ("ax", "ay", "ex", "ey"))
+    length = np.sqrt((ex - ax) ** 2 + (ey - ay) ** 2)
+    sx, sy, tx, ty, metres = ax[row], ay[row], ex[row], ey[row], length[row]
+    over = np.where(metres == 0, np.nan, metres)
+
+    def inside(x: np.ndarray, y: np.ndarray, at: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Whether points are in their parts: x and y by pairs of a point (`of`) and an edge (`at`)."""
+        cut = ((cy[at] > y) != (dy[at] > y)) & (x < (dx[at] - cx[at]) * (y - cy[at]) / (dy[at] - cy[at]) + cx[at])
+        return np.bincount(of[cut], minlength=n) % 2 == 1
+
+    def to_edge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        t = ((x - cx) * (dx - cx) + (y - cy) * (dy - cy)) / ((dx - cx) ** 2 + (dy - cy) ** 2)
+        t = np.where(np.isnan(t), 0.0, np.clip(t, 0.0, 1.0))
+        return np.sqrt((x - cx - t * (dx - cx)) ** 2 + (y - cy - t * (dy - cy)) ** 2)
+
+    def along(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.fmin(metres, np.fmax(0.0, ((x - sx) * (tx - sx) + (y - sy) * (ty - sy)) / over))
+
+    def off(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        m = along(x, y)
+        return np.sqrt((x - sx - m * (tx - sx) / over) ** 2 + (y - sy - m * (ty - sy) / over) ** 2)
+
+    cross = (tx - sx) * (dy - cy) - (ty - sy) * (dx - cx)
+    none = np.where(cross == 0, np.nan, cross)
+    s, t = ((cx - sx) * (dy - cy) - (cy - sy) * (dx - cx)) / none, ((cx - sx) * (ty - sy) - (cy - sy) * (tx - sx)) / none
+    meets = (s >= -1e-12) & (s <= 1 + 1e-12) & (t >= -1e-12) & (t <= 1 + 1e-12)
+    from_a, from_e, off_c, off_d = to_edge(sx, sy), to_edge(tx, ty), off(cx, cy), off(dx, dy)
+    near = np.where(meets, 0.0, np.fmin(np.fmin(from_a, from_e), np.fmin(off_c, off_d)))
+    distance = np.full(len(many), np.inf)
+    np.minimum.at(distance, row, near)
+    distance[inside(sx, sy, np.arange(len(row)), row, len(many)) & polygonal] = 0.0
+    kept = distance <= REACH
+
+    # Where the segment meets each edge: a point, or for an edge along the segment the ends of what they share.
+    some, beside = kept[row], ~meets & (np.abs(cross) <= 1e-9)
+    hits = [(meets, np.fmin(metres, np.fmax(0.0, s * metres))), (beside & (off_c <= EPS), along(cx, cy)), (beside & (off_d <= EPS), along(dx, dy)), (beside & (from_a <= EPS), np.zeros(len(row))), (beside & (from_e <= EPS), metres)]
+    hit_of, hit = _distinct(np.concatenate([row[some & on] for on, _ in hits]), np.concatenate([m[some & on] for on, m in hits]))
+    ends = np.flatnonzero(kept & polygonal)
+    mine = polygonal[hit_of]
+    of, cut = _distinct(np.concatenate([ends, ends, hit_of[mine]]), np.concatenate([np.zeros(len(ends)), length[ends], hit[mine]]))
+    step = (of[1:] == of[:-1]) & (cut[1:] - cut[:-1] > EPS)
+    of, lo, hi = of[:-1][step], cut[:-1][step], cut[1:][step]
+    part = np.repeat(np.arange(len(of)), many[of])  # each step with each edge of its part
+    at = np.arange(len(part)) - np.repeat(np.cumsum(many[of]) - many[of], many[of]) + np.repeat(first[of], many[of])
+    mid = (lo + hi) / 2 / length[of]
+    within = inside((ax[of] + mid * (ex - ax)[of])[part], (ay[of] + mid * (ey - ay)[of])[part], at, part, len(of))
+    of, lo, hi = of[within], lo[within], hi[within]
+    # Runs that follow each other without a gap are one.
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (lo[1:] - hi[:-1] > EPS)))[: len(of)]
+    last = np.concatenate((new[1:], [True]))[: len(of)]
+    of, lo, hi = of[new], lo[new], hi[last]
+    held = np.zeros(len(hit), dtype=bool)
+    runs = np.bincount(of, minlength=len(many))
+    run = np.repeat(np.arange(len(hit)), runs[hit_of])  # each hit with each run of its pair
+    which = np.arange(len(run)) - np.repeat(np.cumsum(runs[hit_of]) - runs[hit_of], runs[hit_of]) + np.repeat((np.cumsum(runs) - runs)[hit_of], runs[hit_of])
+    held[run[(hit[run] >= lo[which] - EPS) & (hit[run] <= hi[which] + EPS)]] = True
+    of, lo, hi = np.concatenate((of, hit_of[~held])), np.concatenate((lo, hit[~held])), np.concatenate((hi, hit[~held]))
+    order = np.lexsort((hi, lo, of))
+    found = pa.StructArray.from_arrays([pa.array(lo[order]), pa.array(hi[order])], ["f", "t"])
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(many))[kept]))).astype(np.int32)
+    out = batch.filter(pa.array(kept))
+    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(length[kept]), pa.array(distance[kept]), pa.ListArray.from_arrays(pa.array(offsets), found)], [*batch.schema.names, "_len", "distance_m", "pieces"])
+
+
+def _distinct(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places of each row, in order."""
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])))[: len(of)]
+    return of[new], at[new]
 
 
 def angle_at(m: str) -> str:
@@ -123,12 +201,7 @@ def candidates(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame)
     ruled = obstacles.join(F.broadcast(rule_rows), "type", "left")  # one row a type
     known, unknown = ruled.where("special is not null"), ruled.where("special is null")
     near = near_join(boxed(segments), known, ("_x0", "_y0", "_x1", "_y1"), ("x0", "y0", "x1", "y1"), REACH, CELL).drop("_x0", "_y0", "_x1", "_y1")
-    # Each step is written: expressions of one step used many times in the next would be copied into it as often.
-    scratch = Scratch(segments.sparkSession, "parts")
-    near = near.withColumn("_len", F.expr("sqrt(pow(ex - ax, 2) + pow(ey - ay, 2))")).withColumn("distance_m", F.expr(f"CASE WHEN {inside('ax', 'ay')} THEN 0.0 ELSE {_EDGE_DISTANCE} END"))
-    near = scratch.keep(near, "near").where(F.col("distance_m") <= REACH)
-    hit = scratch.keep(near.withColumn("_hits", F.expr(f"array_sort(array_distinct({_HITS}))")), "hits")
-    pairs = scratch.keep(measured(hit), "pairs").withColumn("required_m", F.expr(rules.axis_clearance("type", "dn", "clearance", "width", "obstacle_width")))
+    pairs = measured(near).withColumn("required_m", F.expr(rules.axis_clearance("type", "dn", "clearance", "width", "obstacle_width")))
     return pairs, unknown.select("ordinal", "component", "type")
 
 

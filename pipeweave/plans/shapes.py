@@ -29,8 +29,8 @@ SCENES["g_way"] = f"""SELECT seg_id, ax, ay, ex, ey, dn, width, CAST(NULL AS BIG
 _READS["g_way"] = ("orders", "part")
 
 
-def _pairs(spark, sf_dir):
-    return polygons.candidates(scene(spark, sf_dir, "g_way"), polygons.parts(scene(spark, sf_dir, "g_part_edge")), rules.rule_table(spark))[0]
+def _pairs(spark, sf_dir, parts="true", ways="true"):
+    return polygons.candidates(scene(spark, sf_dir, "g_way").where(ways), polygons.parts(scene(spark, sf_dir, "g_part_edge").where(parts)), rules.rule_table(spark))[0]
 
 
 # The SQL cuts every edge on its own. u and v are the places on the segment and on the edge where their lines meet.
@@ -68,7 +68,7 @@ def part_distance(spark, sf_dir):
 @query(f"WITH {_CUT} SELECT seg_id, ordinal, component, round(sum(till - m), 5) AS inside_m FROM runs WHERE within GROUP BY seg_id, ordinal, component", "g_way", "g_part_edge")
 def part_inside(spark, sf_dir):
     """Metres of each segment inside each polygon, holes left out."""
-    pairs = _pairs(spark, sf_dir).where("polygonal").withColumn("inside_m", F.expr("aggregate(pieces, 0.0D, (a, p) -> a + p.t - p.f)"))
+    pairs = _pairs(spark, sf_dir, "polygonal").withColumn("inside_m", F.expr("aggregate(pieces, 0.0D, (a, p) -> a + p.t - p.f)"))
     return pairs.where("inside_m > 0").select("seg_id", "ordinal", "component", F.round("inside_m", 5).alias("inside_m"))
 
 
@@ -82,7 +82,7 @@ def part_inside(spark, sf_dir):
 )
 def own_object_exemptions(spark, sf_dir):
     """Ways into the object that a segment serves: the shortest way in is free, and so are the object's other parts at a distance."""
-    return polygons.exempted(_pairs(spark, sf_dir)).where("ordinal = target").select("seg_id", "ordinal", "component", "exempt")
+    return polygons.exempted(_pairs(spark, sf_dir, ways="target is not null").where("ordinal = target")).select("seg_id", "ordinal", "component", "exempt")
 
 
 @query(
@@ -92,7 +92,7 @@ def own_object_exemptions(spark, sf_dir):
 )
 def line_events(spark, sf_dir):
     """Crossings of line obstacles: how many, the first and last, and the least angle."""
-    found = polygons.events(polygons.exempted(_pairs(spark, sf_dir).where("not polygonal")))
+    found = polygons.events(polygons.exempted(_pairs(spark, sf_dir, "not polygonal")))
     return found.groupBy("seg_id", "ordinal").agg(F.count(F.lit(1)).alias("cuts"), F.round(F.min("from_m"), 5).alias("first_m"), F.round(F.max("to_m"), 5).alias("last_m"), F.round(F.min("angle"), 4).alias("angle"))
 
 
