@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 _LAST = 0x24F  # the end of Latin Extended-B
-_KEPT, _LONGEST = 1 << 18, 64  # words kept by a worker, and the characters that one of them may have
+_KEPT, _LONGEST = 1 << 18, 64  # words kept by a worker, twice at most, and the characters that one of them may have
 _OTHER = re.compile(rf"[^\t-\r -~\xa0-{chr(_LAST)}]")
 
 
@@ -42,6 +42,7 @@ class ByteTokens:
         special = [] if plain else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kept: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}  # those of before, when kept was full
         self.model, self.spelt = self.whole.model, _spelling()
         self.raw = _raw(self.whole)
 
@@ -49,7 +50,9 @@ class ByteTokens:
         return [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        return array("i", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.spelt))]).tobytes()
+        # Of printable ASCII only the blank is spelt otherwise.
+        spelt = word.replace(" ", self.spelt[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.spelt)
+        return array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -59,14 +62,15 @@ class ByteTokens:
                 out.append(np.array(self._all([text])[0], dtype=np.int32))
                 continue
             words = _WORDS.findall(text)
-            ids = list(map(self.kept.get, words))
-            if None in ids:
-                found = {w: self._word(w) for w in {w for w, x in zip(words, ids, strict=True) if x is None}}
-                if len(self.kept) > _KEPT:
-                    self.kept.clear()
-                self.kept |= {w: x for w, x in found.items() if len(w) <= _LONGEST}
-                ids = [found[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            out.append(np.frombuffer(b"".join(ids), dtype=np.int32))
+            if len(self.kept) > _KEPT:
+                self.older, self.kept = self.kept, {}  # words that come again are taken over from there
+            new = set(words).difference(self.kept)
+            for w in new:
+                self.kept[w] = self.older.get(w) or self._word(w)
+            out.append(np.frombuffer(b"".join(map(self.kept.__getitem__, words)), dtype=np.int32))
+            for w in new:
+                if len(w) > _LONGEST:
+                    del self.kept[w]
         return out
 
 

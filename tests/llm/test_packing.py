@@ -106,3 +106,15 @@ def test_empty_and_whole(spark):
     whole = sequences(packed).collect()
     assert sum(r.length for r in whole) == sum(len(r.ids) // 4 for r in whole) == packed.agg(F.sum("length")).first()[0]
     assert len(whole) == packed.select("sequence_id").distinct().count()
+
+
+def test_words_that_come_again_are_not_encoded_again(monkeypatch):
+    """op13: a full store of words gives its words to the next one; what was kept is not lost at once."""
+    model, seen = bytetokens.ByteTokens(PATH, plain=False), []
+    encode = model._word
+    monkeypatch.setattr(bytetokens, "_KEPT", 3)
+    monkeypatch.setattr(model, "_word", lambda w: seen.append(w) or encode(w))
+    texts = ["one two three four", "one two five", "one two six\t\u00e9 " + "x" * 70, "one two"]
+    got = [x.tolist() for x in model.encode(texts)]
+    assert got == [model.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert seen.count(" two") == seen.count("one") == 1
