@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from pipeweave.functions import rules
 
 
-def lengths(edges: DataFrame) -> DataFrame:
-    """edge_id, length_m and weighted_m (length x coefficient) of edges (edge_id, sections: an array in order), summed within each row. Edges without sections have no row."""
-    over = lambda v: F.expr(f"aggregate(sections, 0.0D, (a, s) -> a + {v})")
-    return edges.where("size(sections) > 0").select("edge_id", over("s.to_m - s.from_m").alias("length_m"), over("(s.to_m - s.from_m) * s.coefficient").alias("weighted_m"))
-
-
 def priced(rows: DataFrame) -> DataFrame:
     """rows (weighted_m, rate) with cost: length x rate x coefficient."""
     return rows.withColumn("cost", F.col("weighted_m") * F.col("rate"))
