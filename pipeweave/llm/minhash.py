@@ -127,6 +127,11 @@ def _grouped(links: DataFrame) -> DataFrame:
     return over.groupBy(F.col("a").alias("sid")).agg(F.min("c").alias("c"))
 
 
+def _hanging(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """sid, c: the smallest sid reachable by links, over however many."""
+    return components(links, scratch).select(F.col("node").alias("sid"), F.col("component_id").alias("c"))
+
+
 def _rarest(sets: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
     """sets (sid, n_shingles, c) with one row for each item of their prefix, the n - ceil(threshold * n / 100) + 1 rarest ones.
 
@@ -175,9 +180,9 @@ def near_duplicates(
     verify = Verifier(items, threshold, scratch)
     fits = "100 * least(n, m) >= {t} * greatest(n, m)".format(t=threshold)  # else the sizes alone rule it out
 
-    def placed(links: DataFrame | None) -> DataFrame:
+    def placed(groups: DataFrame | None) -> DataFrame:
         """The buckets that hold more than one group of sets known to hang together, with their size and groups."""
-        at = buckets.withColumn("c", F.col("sid")) if links is None else buckets.join(_grouped(links), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+        at = buckets.withColumn("c", F.col("sid")) if groups is None else buckets.join(groups, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
         sizes = at.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.approx_count_distinct("c").alias("groups"))
         return scratch.keep(at.join(sizes.where("lo < hi").drop("lo", "hi"), "key"), "mixed")
 
@@ -199,11 +204,8 @@ def near_duplicates(
         pairs = each.select("sid", F.explode("leaders").alias("other"))
         return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
-    def by_rarest(at: DataFrame) -> DataFrame:
+    def by_rarest(own: DataFrame, prefix: DataFrame) -> DataFrame:
         """Pairs of sets of different groups that have a bucket and an item of their prefixes in common."""
-        own = at.groupBy("sid", "n_shingles", "c").agg(F.collect_list("key").alias("keys"))
-        own = scratch.keep(own, "apart")
-        prefix = scratch.keep(_rarest(own.drop("keys"), items, threshold), "prefixes")
         mine = prefix.select("item", F.col("sid").alias("a"), F.col("n_shingles").alias("n"), F.col("c").alias("ca"), F.col("rank").alias("i"))
         others = prefix.select("item", F.col("sid").alias("b"), F.col("n_shingles").alias("m"), F.col("c").alias("cb"), F.col("rank").alias("j"))
         # The first item in common, at ranks i and j, leaves at most 1 + least(n - i, m - j) of them.
@@ -214,11 +216,17 @@ def near_duplicates(
 
     links = scratch.keep(verify(with_leader(placed(None), F.col("sid"))), "links")
     # Buckets of copies mostly hang together by now; a second leader finds what the first was too far from.
-    drawn = placed(links).where("2 * groups <= sets")
+    drawn = placed(_grouped(links)).where("2 * groups <= sets")
     links = links.unionByName(scratch.keep(verify(with_leader(drawn, F.xxhash64("key", "sid"))), "links"))
-    links = links.unionByName(scratch.keep(verify(with_leaders(placed(links).where("sets > 2"))), "links"))
-    apart = placed(links).where(f"sets > {LEADERS} + 1")  # of others all pairs have been compared
-    links = links.unionByName(scratch.keep(verify(by_rarest(apart)), "links"))
+    links = links.unionByName(scratch.keep(verify(with_leaders(placed(_grouped(links)).where("sets > 2"))), "links"))
+    # What hangs together over any number of links is not paired, or a group of near copies would be, with the square of its size.
+    apart = placed(_hanging(links, scratch)).where(f"sets > {LEADERS} + 1")  # of others all pairs have been compared
+    own = scratch.keep(apart.groupBy("sid", "n_shingles", "c").agg(F.collect_list("key").alias("keys")), "apart")
+    prefix = scratch.keep(_rarest(own.drop("keys"), items, threshold), "prefixes")
+    # Nor is what hangs together by way of one of the sets that have an item: each is compared with that first.
+    links = links.unionByName(scratch.keep(verify(with_leader(prefix.withColumnRenamed("item", "key"), F.xxhash64("key", "sid"))), "links"))
+    prefix = prefix.drop("c").join(_hanging(links, scratch), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+    links = links.unionByName(scratch.keep(verify(by_rarest(own, scratch.keep(prefix, "prefixes"))), "links"))
 
     of = first.select("sid", "doc_id")
     named = links.join(of.withColumnsRenamed({"sid": "a", "doc_id": "first"}), "a").join(of.withColumnRenamed("sid", "b"), "b").select("first", "doc_id")

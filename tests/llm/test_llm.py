@@ -550,3 +550,13 @@ def test_quality_tells_junk_from_prose(spark, scratch):
     got = {x.doc_id: x.kept for x in quality.judge(table(spark, prose + junk), scratch).collect()}
     assert all(got[i] for i in range(200)) and not any(got[i] for i in range(200, 230))
     assert quality.judge(table(spark, []).limit(0), scratch).count() == 0
+
+
+def test_sets_that_hang_together_over_many_links_are_one_group(spark):
+    """op4: a chain of links is one group before sets are paired, or a group of near copies would be paired with itself."""
+    from pipeweave.llm import minhash
+    from pipeweave.llm.storage import Scratch
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21)], "a long, b long")
+    got = {r.sid: r.c for r in minhash._hanging(links, Scratch(spark, "hanging")).collect()}
+    assert got == {**dict.fromkeys(range(1, 13), 1), 20: 20, 21: 20}
