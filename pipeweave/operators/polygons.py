@@ -6,7 +6,8 @@ from a join on cells and are measured in Arrow batches; all else is higher-order
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from pipeweave.functions import rules
 from pipeweave.operators.cells import near_join
-from pipeweave.operators.restrict import CELL, REACH, base_intervals, boxed
+from pipeweave.operators.restrict import CELL, REACH, B, S, base_intervals, boxed
 from pipeweave.storage import Scratch
 
 EPS = 1e-6
@@ -24,11 +25,11 @@ EDGE = ("cx", "cy", "dx", "dy")
 
 
 def parts(edges: DataFrame) -> DataFrame:
-    """ordinal, component, type, polygonal, edges and box of each part. edges: one row an edge, with ring and seq."""
-    one = F.struct("ring", "seq", *[F.col(c).cast("double").alias(c) for c in EDGE])
-    rows = edges.groupBy("ordinal", "component", "type", "polygonal").agg(F.array_sort(F.collect_list(one)).alias("edges"))
-    ends = lambda a, b, f: f(F.concat(F.transform("edges", lambda e: e[a]), F.transform("edges", lambda e: e[b])))
-    return rows.withColumns({"x0": ends("cx", "dx", F.array_min), "y0": ends("cy", "dy", F.array_min), "x1": ends("cx", "dx", F.array_max), "y1": ends("cy", "dy", F.array_max)})
+    """ordinal, component, type, polygonal, edges and box of each part. edges: one row an edge; what is made of them does not depend on their order."""
+    one = F.struct(*[F.col(c).cast("double").alias(c) for c in EDGE])
+    box = {"x0": F.min(F.least("cx", "dx")), "y0": F.min(F.least("cy", "dy")), "x1": F.max(F.greatest("cx", "dx")), "y1": F.max(F.greatest("cy", "dy"))}
+    box = [v.cast("double").alias(k) for k, v in box.items()]
+    return edges.groupBy("ordinal", "component", "type", "polygonal").agg(F.array_sort(F.collect_list(one)).alias("edges"), *box)
 
 
 def inside(x: str, y: str) -> str:
@@ -70,27 +71,30 @@ _AT = ("(ax + {m} / nullif(_len, 0.0) * (ex - ax))", "(ay + {m} / nullif(_len, 0
 PIECE = "struct<f: double, t: double>"
 
 
-def measured(pairs: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """pairs within REACH with _len, distance_m and pieces: where the segment is in or on the part, as f and t in metres, in order.
 
     Of a polygon, pieces are the runs between cuts that lie inside, next ones joined, and touches by points;
-    of a line they are its cuts, of no length. Map only, all edges of an Arrow batch at once.
+    of a line they are its cuts, of no length. Map only, all edges of an Arrow batch at once. keep: the columns to go
+    on with, of pairs and of the new ones; all if none are named. Others, the edges above all, are then not sent back.
     """
-    new = "_len double, distance_m double, pieces array<" + PIECE + ">"
-    return pairs.mapInArrow(_measure, StructType([*pairs.schema.fields, *StructType.fromDDL(new).fields]))
+    new = StructType.fromDDL("_len double, distance_m double, pieces array<" + PIECE + ">")
+    fields = {f.name: f for f in [*pairs.schema.fields, *new.fields]}
+    names = list(keep or fields)
+    return pairs.mapInArrow(partial(_measure, names), StructType([fields[n] for n in names]))
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         with np.errstate(divide="ignore", invalid="ignore"):
-            yield from _measured(batch)
+            yield _measured(batch, names)
 
 
-def _measured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _measured(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
     col = lambda name: batch.column(batch.schema.get_field_index(name))
     edges, polygonal = col("edges"), col("polygonal").to_numpy(zero_copy_only=False).astype(bool)
     many, each = edges.value_lengths().to_numpy(), edges.flatten()
@@ -128,6 +132,10 @@ def _measured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     np.minimum.at(distance, row, near)
     distance[inside(sx, sy, np.arange(len(row)), row, len(many)) & polygonal] = 0.0
     kept = distance <= REACH
+    out = batch.select([n for n in batch.schema.names if n in names]).filter(pa.array(kept))
+    found = dict(zip(out.schema.names, out.columns, strict=True)) | {"_len": pa.array(length[kept]), "distance_m": pa.array(distance[kept])}
+    if "pieces" not in names:
+        return pa.RecordBatch.from_arrays([found[n] for n in names], names)
 
     # Where the segment meets each edge: a point, or for an edge along the segment the ends of what they share.
     some, beside = kept[row], ~meets & (np.abs(cross) <= 1e-9)
@@ -154,10 +162,10 @@ def _measured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     held[run[(hit[run] >= lo[which] - EPS) & (hit[run] <= hi[which] + EPS)]] = True
     of, lo, hi = np.concatenate((of, hit_of[~held])), np.concatenate((lo, hit[~held])), np.concatenate((hi, hit[~held]))
     order = np.lexsort((hi, lo, of))
-    found = pa.StructArray.from_arrays([pa.array(lo[order]), pa.array(hi[order])], ["f", "t"])
+    runs = pa.StructArray.from_arrays([pa.array(lo[order]), pa.array(hi[order])], ["f", "t"])
     offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(many))[kept]))).astype(np.int32)
-    out = batch.filter(pa.array(kept))
-    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(length[kept]), pa.array(distance[kept]), pa.ListArray.from_arrays(pa.array(offsets), found)], [*batch.schema.names, "_len", "distance_m", "pieces"])
+    found["pieces"] = pa.ListArray.from_arrays(pa.array(offsets), runs)
+    return pa.RecordBatch.from_arrays([found[n] for n in names], names)
 
 
 def _distinct(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,11 +208,28 @@ def candidates(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame)
     """
     ruled = obstacles.join(F.broadcast(rule_rows), "type", "left")  # one row a type
     known, unknown = ruled.where("special is not null"), ruled.where("special is null")
-    near = near_join(boxed(segments), known, ("_x0", "_y0", "_x1", "_y1"), ("x0", "y0", "x1", "y1"), REACH, CELL).drop("_x0", "_y0", "_x1", "_y1")
-    pairs = measured(near).withColumn("required_m", F.expr(rules.axis_clearance("type", "dn", "clearance", "width", "obstacle_width")))
+    pairs = measured(_near(segments, known, REACH)).withColumn("required_m", F.expr(rules.axis_clearance("type", "dn", "clearance", "width", "obstacle_width")))
     return pairs, unknown.select("ordinal", "component", "type")
 
 
+def met(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame, found: str, reach: float = REACH) -> DataFrame:
+    """seg_id, ordinal, component and found (distance_m or pieces) of the pairs of candidates; those farther apart than reach may be left out.
+
+    What only one figure is asked of carries no more than that takes: neither rules nor what segments and parts are besides.
+    """
+    known = obstacles.join(F.broadcast(rule_rows.select("type")), "type", "left_semi")  # one row a type
+    near = _near(segments.select("seg_id", *S), known.select("ordinal", "component", "polygonal", "edges", *B), reach)
+    return measured(near, ["seg_id", "ordinal", "component", found])
+
+
+def _near(segments: DataFrame, obstacles: DataFrame, reach: float) -> DataFrame:
+    """Pairs of a segment and a part whose box the segment comes within reach of, and some more near its corners."""
+    wide = reach + EPS
+    pairs = near_join(boxed(segments), obstacles, ("_x0", "_y0", "_x1", "_y1"), B, wide, CELL)
+    across = f"abs((x0 + x1 - ax - ex) * (ey - ay) - (y0 + y1 - ay - ey) * (ex - ax)) <= (x1 - x0 + 2 * {wide}D) * abs(ey - ay) + (y1 - y0 + 2 * {wide}D) * abs(ex - ax)"
+    return pairs.where(across).drop("_x0", "_y0", "_x1", "_y1")
+
+
 def exempted(pairs: DataFrame) -> DataFrame:
     """Adds exempt: own_approach, own_part (the clearance of other parts of an object that is approached), tie or null."""
     scratch = Scratch(pairs.sparkSession, "exempt")

@@ -33,6 +33,10 @@ def _pairs(spark, sf_dir, parts="true", ways="true"):
     return polygons.candidates(scene(spark, sf_dir, "g_way").where(ways), polygons.parts(scene(spark, sf_dir, "g_part_edge").where(parts)), rules.rule_table(spark))[0]
 
 
+def _met(spark, sf_dir, found, parts="true", reach=polygons.REACH):
+    return polygons.met(scene(spark, sf_dir, "g_way"), polygons.parts(scene(spark, sf_dir, "g_part_edge").where(parts)), rules.rule_table(spark), found, reach)
+
+
 # The SQL cuts every edge on its own. u and v are the places on the segment and on the edge where their lines meet.
 _NEAR = """near AS (SELECT s.seg_id, s.ax, s.ay, s.ex, s.ey, s.dn, s.width, s.target, e.ordinal, e.component, e.type, e.polygonal, e.cx, e.cy, e.dx, e.dy, sqrt((s.ex - s.ax) ** 2 + (s.ey - s.ay) ** 2) AS len,
         (s.ex - s.ax) * (e.dy - e.cy) - (s.ey - s.ay) * (e.dx - e.cx) AS det FROM g_way s JOIN (SELECT ordinal, component, min(least(cx, dx)) AS x0, max(greatest(cx, dx)) AS x1, min(least(cy, dy)) AS y0, max(greatest(cy, dy)) AS y1 FROM g_part_edge GROUP BY ordinal, component) b
@@ -68,7 +72,7 @@ def part_distance(spark, sf_dir):
 @query(f"WITH {_CUT} SELECT seg_id, ordinal, component, round(sum(till - m), 5) AS inside_m FROM runs WHERE within GROUP BY seg_id, ordinal, component", "g_way", "g_part_edge")
 def part_inside(spark, sf_dir):
     """Metres of each segment inside each polygon, holes left out."""
-    pairs = _pairs(spark, sf_dir, "polygonal").withColumn("inside_m", F.expr("aggregate(pieces, 0.0D, (a, p) -> a + p.t - p.f)"))
+    pairs = _met(spark, sf_dir, "pieces", "polygonal", reach=polygons.EPS).withColumn("inside_m", F.expr("aggregate(pieces, 0.0D, (a, p) -> a + p.t - p.f)"))
     return pairs.where("inside_m > 0").select("seg_id", "ordinal", "component", F.round("inside_m", 5).alias("inside_m"))
 
 
