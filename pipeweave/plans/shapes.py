@@ -66,7 +66,7 @@ _CUT = f"""{_MEASURED}, cuts AS (SELECT DISTINCT seg_id, ordinal, component, m F
 @query(f"WITH {_MEASURED} SELECT seg_id, ordinal, component, round(distance_m, 5) AS distance_m FROM measured WHERE distance_m <= 12", "g_way", "g_part_edge")
 def part_distance(spark, sf_dir):
     """Distances of segments to polygons with holes, second parts and lines."""
-    return _pairs(spark, sf_dir).select("seg_id", "ordinal", "component", F.round("distance_m", 5).alias("distance_m"))
+    return _met(spark, sf_dir, "distance_m").select("seg_id", "ordinal", "component", F.round("distance_m", 5).alias("distance_m"))
 
 
 @query(f"WITH {_CUT} SELECT seg_id, ordinal, component, round(sum(till - m), 5) AS inside_m FROM runs WHERE within GROUP BY seg_id, ordinal, component", "g_way", "g_part_edge")
