@@ -51,7 +51,7 @@ def paths_up(edges: DataFrame, root: str) -> DataFrame:
 
     edges: node, parent. The way doubles each round (pointer jumping), so rounds grow with the logarithm
     of the depth, and end when no jump is left. Ways longer than there are nodes are a cycle, an error.
-    Each round is written, so that the next does not compute it again.
+    Each round is written, so that the next does not compute it again. Joins hash the steps, one a node, where they are: no round sends its table through the driver.
     """
     scratch, nodes = Scratch(edges.sparkSession, "paths"), edges.select("node").distinct().count()
     steps = [scratch.keep(edges.select("node", F.col("parent").alias("jump")).where(F.col("parent") != root), "step")]
@@ -59,10 +59,10 @@ def paths_up(edges: DataFrame, root: str) -> DataFrame:
         if 2 ** (len(steps) - 1) > nodes:
             raise ValueError("the edges have a cycle: some nodes never come to the root")
         again = steps[-1].withColumnsRenamed({"node": "_m", "jump": "_to"})
-        steps.append(scratch.keep(steps[-1].join(again, F.col("jump") == F.col("_m")).select("node", F.col("_to").alias("jump")), "step"))
+        steps.append(scratch.keep(steps[-1].join(again.hint("shuffle_hash"), F.col("jump") == F.col("_m")).select("node", F.col("_to").alias("jump")), "step"))
     out = edges.select("node", F.col("node").alias("above"), F.lit(0).cast("bigint").alias("depth"))
     for i, step in enumerate(steps[:-1]):
-        more = out.join(step.withColumnRenamed("node", "_n"), F.col("above") == F.col("_n")).select("node", F.col("jump").alias("above"), (F.col("depth") + 2**i).alias("depth"))
+        more = out.join(step.withColumnRenamed("node", "_n").hint("shuffle_hash"), F.col("above") == F.col("_n")).select("node", F.col("jump").alias("above"), (F.col("depth") + 2**i).alias("depth"))
         out = scratch.keep(out.unionByName(more), "paths")
     return out
 

@@ -12,7 +12,7 @@ ROOT = -1
 
 def consumers(pipes: DataFrame, up: DataFrame) -> DataFrame:
     """node, consumers (number), least, most and flow of the consumers below each pipe, itself included. Pipes are rows of node, parent, flow."""
-    some = up.join(pipes.where("flow > 0").select("node", "flow"), "node")
+    some = up.join(pipes.where("flow > 0").select("node", "flow").hint("shuffle_hash"), "node")  # grows with the pipes: never broadcast, however small its columns
     return some.groupBy(F.col("above").alias("node")).agg(F.count_distinct("node").alias("consumers"), F.min("node").alias("least"), F.max("node").alias("most"), F.sum("flow").alias("flow"))
 
 
@@ -36,30 +36,43 @@ def sized(pipes: DataFrame, up: DataFrame, dn_rows: DataFrame, most_rounds: int
     """node, dn: the least diameters that carry the flow, do not grow from the root on, and are not longer in a row than allowed.
 
     DNs go up by one where a run is too long, until none is; each goes up 18 times at most, the last time to null, so it ends. A pipe
-    whose flow no DN carries has a null one, and so has all that leads to it.
+    whose flow no DN carries has a null one, and so has all that leads to it. Only what went up is carried to the root again. No
+    join of pipes goes through the driver: each round has several, and broadcasts of what is just small enough would add up there.
     """
     from pipeweave.storage import Scratch
 
     scratch = Scratch(pipes.sparkSession, "sized")
     table = dn_rows.select("dn", "capacity", "max_length")
     flow = consumers(pipes, up).select("node", F.col("flow").alias("total"))
-    rows = pipes.select("node", "parent", "length_m").join(flow, "node", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    rows = pipes.select("node", "length_m").join(flow.hint("shuffle_hash"), "node", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
     fit = rows.join(F.broadcast(table), F.expr("total <= capacity + 1e-9"), "left").groupBy("node", "length_m").agg(F.min("dn").alias("dn"))  # 18 rows
-    current = scratch.keep(fit, "dn")
     nexts = table.select("dn", "max_length", F.lead("dn").over(Window.orderBy("dn")).alias("larger"))
+    grown, by_dn = scratch.keep(fit, "dn"), F.struct(F.col("dn").isNull(), "dn")  # a null DN is the greatest
+    current = grown
     for _ in range(most_rounds):
-        raised = up.join(current.select("node", "dn"), "node").groupBy(F.col("above").alias("node")).agg(F.max(F.struct(F.col("dn").isNull(), "dn")).getField("dn").alias("dn"))
-        mono = scratch.keep(raised.join(pipes.select("node", "parent", "length_m"), "node"), "mono")
-        long = same_dn_length(mono, up).withColumnRenamed("length_m", "run_m")
-        grown = mono.join(long, "node", "left").join(F.broadcast(nexts), "dn", "left").withColumn("_long", F.coalesce(F.expr("run_m > max_length + 1e-6"), F.lit(False)))
-        current = scratch.keep(grown.select("node", "length_m", F.when(F.col("_long"), F.col("larger")).otherwise(F.col("dn")).alias("dn"), "_long"), "dn")
-        if current.where("_long").isEmpty():
+        below = up.join(grown.select("node", "dn").hint("shuffle_hash"), "node").groupBy(F.col("above").alias("node")).agg(F.max(by_dn).alias("_dn"))
+        raised = current.join(below.hint("shuffle_hash"), "node", "left").select("node", "length_m", F.greatest(by_dn, "_dn").getField("dn").alias("dn"))
+        mono = scratch.keep(raised, "mono")
+        long = _same_monotone(mono, up).withColumnRenamed("length_m", "run_m")
+        wide = mono.join(long.hint("shuffle_hash"), "node", "left").join(F.broadcast(nexts), "dn", "left").withColumn("_long", F.coalesce(F.expr("run_m > max_length + 1e-6"), F.lit(False)))
+        current = scratch.keep(wide.select("node", "length_m", F.when(F.col("_long"), F.col("larger")).otherwise(F.col("dn")).alias("dn"), "_long"), "dn")
+        grown = current.where("_long")
+        if grown.isEmpty():
             break
     else:
         raise ValueError(f"diameters are not settled after {most_rounds} rounds")
     return current.select("node", "dn")
 
 
+def _same_monotone(pipes: DataFrame, up: DataFrame) -> DataFrame:
+    """same_dn_length where DNs do not fall towards the root, null being the greatest: what is equal above is equal all the way, so no
+    way is put in order. As there, null DNs count as the same where they follow at once."""
+    own = pipes.where("dn is not null").select("node", F.col("dn").alias("own"))
+    at = up.join(pipes.select(F.col("node").alias("above"), "dn", "length_m").hint("shuffle_hash"), "above").join(own.hint("shuffle_hash"), "node")
+    sums = at.groupBy("node", "own").agg(F.sum(F.expr("CASE WHEN dn = own THEN length_m END")).alias("same"), F.sum(F.expr("CASE WHEN dn IS NULL THEN length_m END")).alias("none"), F.max("dn").alias("most"))
+    return sums.select("node", F.expr("same + CASE WHEN most = own THEN coalesce(none, 0.0D) ELSE 0.0D END").alias("length_m"))
+
+
 def node_kinds(pipes: DataFrame) -> DataFrame:
     """node, degree, dn (the greatest that meets there) and kind: chamber where pipes part or a tree starts, oks at a consumer, technical where the DN changes, else joint."""
     below = pipes.where(F.col("parent") != ROOT).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("dn").alias("hi"), F.min("dn").alias("lo"))
