@@ -240,12 +240,16 @@ def exempted(pairs: DataFrame) -> DataFrame:
     return out.withColumn("exempt", F.expr("CASE WHEN _own THEN 'own_approach' WHEN _tie THEN 'tie' WHEN _some AND distance_m > 0 THEN 'own_part' END")).drop("_own", "_tie", "_some")
 
 
+#: A special part that a segment keeps less than the clearance from.
+_TOO_NEAR = f"special AND exempt IS NULL AND distance_m + {EPS} < required_m"
+
+
 def events(pairs: DataFrame) -> DataFrame:
     """One row for each piece of a special part that is too near: from_m, to_m, angle, crosses, reason, and the passage zone.
 
     Zones reach beyond the part by its margin, or as far as its clearance asks at that angle.
     """
-    each = pairs.where(f"special AND exempt IS NULL AND distance_m + {EPS} < required_m AND distance_m <= {EPS}").withColumn("p", F.explode("pieces"))
+    each = pairs.where(f"{_TOO_NEAR} AND distance_m <= {EPS}").withColumn("p", F.explode("pieces"))
     each = each.withColumns({"angle": F.expr(angle_at("p.f")), "crosses": F.expr(crosses("p"))})
     wide = f"greatest(margin, required_m / greatest(sin(radians(angle)), 0.05) + {EPS})"
     each = each.withColumns({"zone_from": F.expr(f"p.f - {wide}"), "zone_to": F.expr(f"p.t + {wide}")})
@@ -256,19 +260,25 @@ def events(pairs: DataFrame) -> DataFrame:
     return each.withColumn("reason", F.expr(reason)).select("seg_id", "ordinal", "component", "type", F.col("p.f").alias("from_m"), F.col("p.t").alias("to_m"), "angle", "crosses", "reason", "zone_from", "zone_to", "k", "_len")
 
 
-def residual(pairs: DataFrame, passages: DataFrame) -> DataFrame:
-    """seg_id, ordinal, component of special parts that what no passage covers of a segment comes too near to.
+def residual(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """seg_id, ordinal, component, reason: special parts that a segment comes too near to, but for where allowed passages through that very part cover it.
 
-    passages: seg_id, zone_from, zone_to and _len of the crossings that are allowed.
+    found: events of the pairs. A passage excuses no part but the one that it leads through. What passages through a part, allowed or not, leave of
+    the segment is measured against it (SPECIAL_CLEARANCE_CONFLICT). Other parts that are too near have the first reason of their events, or CLEARANCE.
     """
-    spans = passages.select("seg_id", F.monotonically_increasing_id().alias("passage"), F.col("zone_from").alias("from_m"), F.col("zone_to").alias("to_m"), F.col("_len").alias("length_m"))
-    free = base_intervals(spans, "seg_id").where("from_m < to_m")
-    special = pairs.where(f"special AND exempt IS NULL AND distance_m + {EPS} < required_m AND distance_m <= {EPS}")
-    part = special.join(free, "seg_id")
-    (fx, fy), (tx, ty) = ((v.format(m=m) for v in _AT) for m in ("from_m", "to_m"))
-    cut = part.selectExpr("seg_id", "ordinal", "component", "required_m", "edges", "polygonal", f"{fx} AS ax", f"{fy} AS ay", f"{tx} AS ex", f"{ty} AS ey")
-    near = cut.withColumn("_len", F.expr("sqrt(pow(ex - ax, 2) + pow(ey - ay, 2))")).where(f"CASE WHEN {inside('ax', 'ay')} THEN 0.0 ELSE {_EDGE_DISTANCE} END + {EPS} < required_m")
-    return near.select("seg_id", "ordinal", "component").distinct()
+    one = ["seg_id", "ordinal", "component"]
+    passages = found.where("coalesce(reason, '') <> 'TOUCH_OVERLAP_OR_INCOMPLETE_CROSSING'")
+    spans = passages.select(F.struct(*one).alias("pair"), F.monotonically_increasing_id().alias("passage"), F.col("zone_from").alias("from_m"), F.col("zone_to").alias("to_m"), F.col("_len").alias("length_m"))
+    free = base_intervals(spans, "pair").where("from_m < to_m").select("pair.*", "from_m", "to_m")
+    near = pairs.where(_TOO_NEAR)
+    part = near.join(free, one)
+    (fx, fy), (tx, ty) = ([v.format(m=m) for v in _AT] for m in ("from_m", "to_m"))
+    cut = part.selectExpr(*one, "required_m", "edges", "polygonal", f"{fx} AS ax", f"{fy} AS ay", f"{tx} AS ex", f"{ty} AS ey")
+    left = cut.withColumn("_len", F.expr("sqrt(pow(ex - ax, 2) + pow(ey - ay, 2))")).where(f"CASE WHEN {inside('ax', 'ay')} THEN 0.0 ELSE {_EDGE_DISTANCE} END + {EPS} < required_m")
+    conflict = left.select(*one).distinct().withColumn("reason", F.lit("SPECIAL_CLEARANCE_CONFLICT"))
+    judged = found.groupBy(*one).agg(F.min("reason").alias("_why"), F.lit(True).alias("_met"))
+    rest = near.join(conflict, one, "left_anti").join(judged, one, "left").where("_why IS NOT NULL OR _met IS NULL")
+    return conflict.unionByName(rest.select(*one, F.coalesce("_why", F.lit("CLEARANCE")).alias("reason")))
 
 
 def decide(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame) -> DataFrame:
@@ -279,7 +289,7 @@ def decide(segments: DataFrame, obstacles: DataFrame, rule_rows: DataFrame) -> D
     plain = plain.select("seg_id", F.expr("CASE WHEN NOT special AND distance_m <= 0 THEN 'FORBIDDEN_INTERSECTION' ELSE 'CLEARANCE' END").alias("reason"))
     through = events(pairs)
     bad = through.where("reason IS NOT NULL").select("seg_id", "reason")
-    conflict = residual(pairs, through.where("reason IS NULL")).select("seg_id", F.lit("SPECIAL_CLEARANCE_CONFLICT").alias("reason"))
+    conflict = residual(pairs, through).where("reason = 'SPECIAL_CLEARANCE_CONFLICT'").select("seg_id", "reason")
     per = plain.unionByName(bad).unionByName(conflict).groupBy("seg_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     some = F.lit(unknown.count())  # one number
     out = segments.select("seg_id").join(per, "seg_id", "left")

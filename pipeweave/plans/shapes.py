@@ -108,9 +108,9 @@ def part_status(spark, sf_dir):
 
 @query(None)
 def residual_clearance(spark, sf_dir):
-    """Special parts that a segment comes too near to beside its passages."""
+    """Special parts that a segment comes too near to beside its allowed passages through them, each with the reason that part_status has for it."""
     pairs = polygons.exempted(_pairs(spark, sf_dir))
-    return polygons.residual(pairs, polygons.events(pairs).where("reason IS NULL"))
+    return polygons.residual(pairs, polygons.events(pairs))
 
 
 NEW = ("part_distance", "part_inside", "own_object_exemptions", "line_events", "part_status", "residual_clearance")
