@@ -6,7 +6,7 @@ end. Arrays of pieces that meet in a node are added element by element, so that
 group. Going down, each piece gets the depth of its upper end from the level above and is walked. So jobs grow with the
 height of the tree in pieces, and what a task holds is a piece.
 
-Depths at a station are levels: a grid, finer for smaller plans, and every bound that a passage sets. A passage laid
+Depths at a station are levels: a grid of one centimetre for plans of any size, and every bound that a passage sets. A passage laid
 specially is one straight ramp within one allowed interval. Slopes are at most SLOPE; cost is length x rate x coefficient x mean
 depth coefficient, and a very small pull to the normal depth. A tree that no depths fit is infeasible, and all its pipes with it.
 
@@ -34,6 +34,8 @@ from pipeweave.storage import Scratch
 RUN = 64
 #: Stations that a task costs.
 AT_ONCE = 4000
+#: Metres between two levels.
+GRID = 0.01
 PULL = 1e-7
 _NEAR = 60.0  # from a passage on, where fine stations end
 
@@ -188,10 +190,6 @@ def knots(edge: Edge, depth: np.ndarray) -> list[tuple[float, float]]:
     return kept
 
 
-def grid_for(stations: int) -> float:
-    return 0.01 if stations <= 40_000 else 0.025 if stations <= 200_000 else 0.05
-
-
 def make_levels(critical: set[float], grid: float) -> np.ndarray:
     """From the least depth to a step below the deepest bound; nothing deeper is ever cheaper."""
     top = max([NORMAL_DEPTH, *critical]) + grid
@@ -274,11 +272,11 @@ def _downward(values: list[float], step: float, fine: float):
     return run
 
 
-def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float | None = None, run: int = RUN) -> DataFrame:
+def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float = GRID, run: int = RUN) -> DataFrame:
     """node, feasible, cost, from_depth, to_depth (at the upper and the lower end) and knots (at_m from the upper end) of each pipe.
 
     pipes: node, parent (long; a parent that is no node is a tie), length_m, rate, height (double) and sections (array of SECTION).
-    The levels are the same for all of a plan. The driver sees the bounds that passages set, a few for each kind of passage and
+    The levels are the same for all of a plan, and their grid does not depend on its size. The driver sees the bounds that passages set, a few for each kind of passage and
     size of pipe, and the number of stations.
     """
     scratch = Scratch(pipes.sparkSession, "depths")
@@ -287,7 +285,6 @@ def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float | None = None,
     surveyed = scratch.keep(dealt_by(pipes, "node").mapInArrow(_survey(step), "stations long, critical array<double>"), "survey")
     stations = surveyed.agg(F.sum("stations")).first()[0] or 0
     critical = {r[0] for r in surveyed.select(F.explode("critical").alias("v")).distinct().collect()}
-    grid = grid or grid_for(stations)
     values, fine = make_levels(critical, grid).tolist(), min(step, grid / SLOPE)
 
     ranked = chains(pipes).withColumn("_piece", F.floor(F.col("rank") / run))
