@@ -34,8 +34,8 @@ from pipeweave.storage import Scratch
 
 #: Pipes in a row at most.
 RUN = 64
-#: Metres of pipe that a task costs, pieces that it takes side by side, and stations whose costs it keeps to walk by.
-AT_ONCE, SIDE_BY_SIDE, KEPT = 40_000, 256, 60_000
+#: Metres of pipe that a task costs (fewer, but no less than so many, where cores would be idle), pieces that it takes side by side, and stations whose costs it keeps to walk by.
+AT_ONCE, AT_LEAST, SIDE_BY_SIDE, KEPT = 100_000, 10_000, 256, 100_000
 #: Metres between two levels.
 GRID = 0.01
 PULL = 1e-7
@@ -223,10 +223,9 @@ class Windows:
         self.lo, self.hi = lo, np.maximum(hi, lo)
         side_lo, side_hi = np.where(shallow, lo, np.maximum(lo, int(np.argmax(deep)) if deep.any() else n)), np.where(deep, hi, np.minimum(hi, int(shallow.sum())))
         width = side_hi - side_lo
-        self.none, self.spans = np.flatnonzero(width <= 0), []  # of one level, it is the level itself
-        for j in range(1, int(width.max(initial=0)).bit_length()):
-            at = np.flatnonzero((width >= 1 << j) & (width < 2 << j))
-            self.spans.append((at, side_lo[at], side_hi[at] - (1 << j)))
+        self.none, self.wide = np.flatnonzero(width <= 0), np.flatnonzero(width > 1)
+        self.power = np.array([int(w).bit_length() - 1 for w in np.maximum(width, 1).tolist()])
+        self.one, self.two = np.where(width > 0, side_lo, 0), np.where(width > 0, side_hi - (1 << self.power), 0)
         a, b = np.flatnonzero(~deep & (hi > shallow.sum()) & (hi > lo)), np.flatnonzero(~shallow & (lo < np.argmax(deep)) & (hi > lo))
         self.through, self.seen = None, {}
         if len(a) and len(b):
@@ -240,18 +239,19 @@ class Windows:
         half = (d * weight / 2)[:, None] * levels.factor + (d * rate * (PULL / 2))[:, None] * levels.off
         span = below + half
         out = span + half
+        # Rows one after another: a span that leaves its row is never asked for. Few levels with others in reach are taken alone.
+        at = self.wide if len(self.wide) < len(levels.h) // 4 else slice(None)
+        power, many = self.power[at], below.size
+        spans = np.empty((int(power.max(initial=0)) + 1, many))
+        spans[0] = span.ravel()
+        for j in range(1, len(spans)):
+            w = 1 << j - 1
+            np.minimum(spans[j - 1, :-w], spans[j - 1, w:], out=spans[j, :-w])
+        rows, power = (np.arange(len(below)) * below.shape[1])[:, None], power * many
+        if len(power):
+            out[:, at] = np.minimum(spans.take(rows + (power + self.one[at])), spans.take(rows + (power + self.two[at]))) + half[:, at]
         if len(self.none):
             out[:, self.none] = np.inf
-        # Rows one after another: a span that leaves its row is never asked for.
-        span, rows = span.ravel(), (np.arange(len(below)) * below.shape[1])[:, None]
-        for j, (at, one, two) in enumerate(self.spans):
-            if j + 1 == len(self.spans) and len(at) < len(levels.h) // 4 and not j:
-                one, two = np.minimum(span.take(rows + one), span.take(rows + one + 1)), np.minimum(span.take(rows + two), span.take(rows + two + 1))
-                out[:, at] = np.minimum(one, two) + half.take(at, axis=1)
-                break
-            span = np.minimum(span[: -(1 << j)], span[1 << j :])
-            if len(at):
-                out[:, at] = np.minimum(span.take(rows + one), span.take(rows + two)) + half.take(at, axis=1)
         if self.through:
             a, b, mean, pull = self.through
             if mean.size * len(below) < 10_000:
@@ -628,7 +628,8 @@ def tree_depths(pipes: DataFrame, step: float = 1.0, grid: float = GRID, run: in
         tiers.append(scratch.keep(pieces.join(tiers[-1].select(F.col("bottom").alias("top")), "top", "left_semi"), "tier"))
     tiers = tiers[:-1]
     # Small in bytes, large in work: dealt by metres, which coalescing by size does not see.
-    dealt = lambda df, i: df.repartition(1 + int(metres * sizes[i] / most) // AT_ONCE)
+    cores = pipes.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda df, i: df.repartition(1 + int(max(metres * sizes[i] / most / AT_ONCE, min(cores, metres * sizes[i] / most / AT_LEAST))))
 
     sums: list[DataFrame | None] = [None] * (len(tiers) + 1)  # what hangs on each node, by level
     with_below = lambda i: tiers[i].withColumn("below", F.lit(None).cast("array<double>")) if sums[i + 1] is None else tiers[i].join(sums[i + 1].withColumnsRenamed({"top": "bottom", "cost": "below"}), "bottom", "left")
